@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.functions import scoring, text
+from shelfmark.functions.lineage import cut
 from shelfmark.operators import (
     bipartite, buckets, clustering, collaborative, corpus, personal, popularity, similar, snapshots, subjects,
     tagcloud, worksets,
@@ -133,8 +134,8 @@ FROM (SELECT src, dst, score, row_number() OVER (PARTITION BY src ORDER BY round
 WHERE position <= 100""",
     "candidates": f"""
 SELECT src, dst, relevance, starts_with(uri, {_DOMAIN.format('src_uri')}) AS same,
-       list_filter([title_key, uri, direct], x -> x IS NOT NULL) AS keys,
-       list_filter([src_uri, src_direct], x -> x IS NOT NULL) AS seeds, position,
+       list_filter([title_key, uri, direct], lambda x: x IS NOT NULL) AS keys,
+       list_filter([src_uri, src_direct], lambda x: x IS NOT NULL) AS seeds, position,
        row_number() OVER (PARTITION BY src ORDER BY position) AS n
 FROM (SELECT h.src, h.dst, h.position, h.relevance, d.permalink AS uri, nullif(d.direct_link, '') AS direct,
              {_NORM_TITLE.format('d.title')} AS title_key, s.permalink AS src_uri,
@@ -238,7 +239,7 @@ SELECT n.subject_id, s.name, cast(floor(n.n * 100.0 / max(n.n) OVER ()) AS int)
 FROM (SELECT subject_id, count(*) AS n FROM taggings GROUP BY subject_id) n JOIN subjects s ON s.id = n.subject_id""",
     "cleaned": f"""
 SELECT id, list_filter({_TOKENS.format("concat(title, description)")},
-       t -> length(t) >= 3 AND regexp_matches(t, '^[a-z]+$') AND t NOT IN ({_STOP})) AS tokens
+       lambda t: length(t) >= 3 AND regexp_matches(t, '^[a-z]+$') AND t NOT IN ({_STOP})) AS tokens
 FROM entries""",
     "words": "SELECT id, unnest(tokens) AS gram FROM cleaned",
     "neighbours": """
@@ -306,7 +307,7 @@ def _postings(t: Tables) -> DataFrame:
 
 
 def _hits(t: Tables) -> DataFrame:
-    postings = _postings(t)
+    postings = cut(_postings(t))  # the stored index, read several times
     members = corpus.members_of(_corpus(t), _feed_aggs(t), GLOBAL_AGGREGATION)
     return similar.similar_entries(similar.query_terms(postings), postings, members)
 
@@ -623,8 +624,8 @@ def domain_of(t):
 
 @query("""SELECT id, i - 1 AS position, pieces[i] AS piece FROM (
   SELECT id, pieces, unnest(range(1, len(pieces) + 1)) AS i FROM (
-    SELECT id, list_filter(list_transform(regexp_split_to_array(lower(title), '--|[:;,)(/".]'), p -> trim(p)),
-                           p -> length(p) > 0) AS pieces FROM entries) a) b""", "entries")
+    SELECT id, list_filter(list_transform(regexp_split_to_array(lower(title), '--|[:;,)(/".]'), lambda p: trim(p)),
+                           lambda p: length(p) > 0) AS pieces FROM entries) a) b""", "entries")
 def split_subjects(t):
     return t("entries").select(
         "id", F.posexplode(text.split_subjects(F.col("title"))).alias("position", "piece")
@@ -1003,11 +1004,11 @@ def manhattan_stats(t):
 
 @query()
 def canopy_centers(t):
-    return _rounded(clustering.canopy_centers(_vectors(t)), "weight")
+    return _rounded(clustering.canopy_centers(cut(_vectors(t))), "weight")
 
 
 def _clusters(t):
-    vectors = _vectors(t)
+    vectors = cut(_vectors(t))
     return clustering.kmeans_tanimoto(vectors, clustering.canopy_centers(vectors))
 
 

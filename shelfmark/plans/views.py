@@ -130,7 +130,12 @@ def oracle_text(body: str, *views: str, extra: dict[str, str] | None = None) ->
     parts.update(extra or {})
     if not parts:
         return body
-    return "WITH " + ",\n".join(f"{name} AS ({text})" for name, text in parts.items()) + "\n" + body
+    shared = ",\n".join(f"{name} AS ({text})" for name, text in parts.items())
+    # A body with expressions of its own continues the list.
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(opening):
+            return f"{opening}{shared},\n{body[len(opening):]}"
+    return f"WITH {shared}\n{body}"
 
 
 def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
