@@ -16,6 +16,7 @@ from shelfmark.operators import (
     bipartite, buckets, clustering, collaborative, corpus, personal, popularity, similar, snapshots, subjects,
     tagcloud, worksets,
 )
+from shelfmark.session import apply_settings
 from shelfmark.plans.views import AS_OF, GLOBAL_AGGREGATION, oracle_text, view
 
 Tables = Callable[[str], DataFrame]
@@ -58,7 +59,11 @@ def _needed(names) -> set[str]:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def bind(fn):
-        return lambda spark, sf_dir: fn(lambda name: view(spark, sf_dir, name))
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            apply_settings(spark)
+            return fn(lambda name: view(spark, sf_dir, name))
+
+        return run
 
     return {name: bind(fn) for name, fn in _QUERIES.items()}
 
@@ -303,13 +308,20 @@ def _feed_aggs(t: Tables) -> DataFrame:
 
 
 def _postings(t: Tables) -> DataFrame:
-    return similar.index_postings(corpus.weighted_terms(_fields(t)))
+    return _index(t)[0]
+
+
+def _index(t: Tables) -> tuple[DataFrame, DataFrame]:
+    terms = cut(corpus.weighted_terms(_fields(t)))
+    lengths = cut(similar.document_lengths(terms))
+    return similar.index_postings(terms, lengths), lengths
 
 
 def _hits(t: Tables) -> DataFrame:
-    postings = cut(_postings(t))  # the stored index, read several times
+    postings, lengths = _index(t)
+    postings = cut(postings)  # the stored index, read several times
     members = corpus.members_of(_corpus(t), _feed_aggs(t), GLOBAL_AGGREGATION)
-    return similar.similar_entries(similar.query_terms(postings), postings, members)
+    return similar.similar_entries(similar.query_terms(postings), postings, lengths, members)
 
 
 def _bucketed(t: Tables) -> DataFrame:
@@ -340,8 +352,8 @@ def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
-# Sums of powers of two end exactly on a rounding limit; a small step off it makes
-# both engines round the same way.
+# Sums of powers of two and a decay at exactly ten days (5.5) end on a rounding
+# limit; a small step off it makes both engines round the same way.
 _STEP = 1e-9
 
 
@@ -355,7 +367,7 @@ def _tokens(t: Tables) -> DataFrame:
 
 def _vectors(t: Tables) -> DataFrame:
     tokens = _tokens(t)
-    grams = clustering.document_grams(tokens, clustering.collocations(tokens))
+    grams = cut(clustering.document_grams(tokens, clustering.collocations(tokens)))
     return clustering.tfidf_vectors(grams, t("entries").agg(F.count(F.lit(1))).scalar())
 
 
@@ -828,25 +840,26 @@ def bipartite_recommendations(t):
     return _rounded(chosen.withColumn("score", F.col("score") + _STEP), "score")
 
 
-@query("SELECT user_id, dest_entry_id, round(score, 4) AS score FROM decayed", ctes=("decayed",))
+@query(f"SELECT user_id, dest_entry_id, round(score + {_STEP}, 4) AS score FROM decayed", ctes=("decayed",))
 def decayed_scores(t):
-    return _rounded(_decayed(t), "score", digits=4)
+    return _rounded(_decayed(t).withColumn("score", F.col("score") + _STEP), "score", digits=4)
 
 
-@query("""SELECT user_id, dest_entry_id, round(score, 4) AS score, position FROM (
+@query(f"""SELECT user_id, dest_entry_id, round(score + {_STEP}, 4) AS score, position FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, dest_entry_id) AS position
   FROM decayed d WHERE NOT EXISTS (SELECT 1 FROM personal_recommendations p
     WHERE p.personal_recommendable_id = d.user_id AND p.destination_id = d.dest_entry_id)) x
 WHERE position <= 20""", "personal_recommendations", ctes=("decayed",))
 def decayed_recommendations(t):
-    return _rounded(personal.decayed_recommendations(_decayed(t), t("personal_recommendations")), "score", digits=4)
+    best = personal.decayed_recommendations(_decayed(t), t("personal_recommendations"))
+    return _rounded(best.withColumn("score", F.col("score") + _STEP), "score", digits=4)
 
 
 @query(f"""WITH kept AS (SELECT * FROM personal_recommendations
   WHERE visited_at IS NOT NULL OR personal_recommendable_id NOT IN (SELECT id FROM due_daily))
-SELECT personal_recommendable_id AS user_id, destination_id AS entry_id, round(relevance, 4) AS relevance, created_at FROM kept
+SELECT personal_recommendable_id AS user_id, destination_id AS entry_id, round(relevance + {_STEP}, 4) AS relevance, created_at FROM kept
 UNION ALL
-SELECT user_id, dest_entry_id, round(score, 4), {NOW} FROM (
+SELECT user_id, dest_entry_id, round(score + {_STEP}, 4), {NOW} FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, dest_entry_id) AS position
   FROM decayed d WHERE user_id IN (SELECT id FROM due_daily) AND NOT EXISTS (SELECT 1 FROM kept p
     WHERE p.personal_recommendable_id = d.user_id AND p.destination_id = d.dest_entry_id)) x
@@ -858,7 +871,7 @@ def refresh_personal(t):
     )
     return state.select(
         F.col("personal_recommendable_id").alias("user_id"), F.col("destination_id").alias("entry_id"),
-        F.round("relevance", 4).alias("relevance"), "created_at",
+        F.round(F.col("relevance") + _STEP, 4).alias("relevance"), "created_at",
     )
 
 

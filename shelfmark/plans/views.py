@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 AS_OF = "2024-01-31 00:00:00"
 GLOBAL_AGGREGATION = 1
@@ -138,17 +139,24 @@ def oracle_text(body: str, *views: str, extra: dict[str, str] | None = None) ->
     return f"WITH {shared}\n{body}"
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def base_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; its schema is read from the files once per session."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One catalogue table as a DataFrame, without registering anything in the session."""
+    """One catalogue table as a DataFrame, without leaving anything registered in the session."""
     if name in BASE_TABLES:
         return base_table(spark, sf_dir, name)
     names = _closure([name])
     words = set(re.findall(r"\b[a-z_]+\b", " ".join(VIEWS[n] for n in names)))
-    tables = [t for t in BASE_TABLES if t in words]
-    parts = [f"{t} AS (SELECT * FROM parquet.`{sf_dir}/{t}.parquet`)" for t in tables]
+    tables = {t: base_table(spark, sf_dir, t) for t in BASE_TABLES if t in words}
+    parts = [f"{t} AS (SELECT * FROM {{{t}}})" for t in tables]
     parts += [f"{n} AS ({VIEWS[n]})" for n in names]
-    return spark.sql("WITH " + ",\n".join(parts) + f"\nSELECT * FROM {name}")
+    return spark.sql("WITH " + ",\n".join(parts) + f"\nSELECT * FROM {name}", **tables)

@@ -15,9 +15,21 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Parquet files are several times smaller than their rows; without this a
+    # compressed table of a few megabytes counts as small enough to broadcast.
+    "spark.sql.sources.fileCompressionFactor": "5.0",
 }
 
 
+def apply_settings(spark: SparkSession) -> SparkSession:
+    """Set the settings above on a running session where its owner has not set them."""
+    chosen = dict(spark.sparkContext.getConf().getAll())
+    for key, value in SETTINGS.items():
+        if key not in chosen:
+            spark.conf.set(key, value)
+    return spark
+
+
 def local_session(app: str = "shelfmark", cpus: int | str = "*", **conf) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     builder = (
