@@ -1,7 +1,7 @@
 """The catalogue tables used by the registered queries, derived from the given parquet tables.
 
 Each view is one SQL text that means the same in Spark SQL and in the checking
-engine.  Every view reads at least one given table, so its size follows the
+engine (``EACH`` apart).  Every view reads at least one given table, so its size follows the
 data; the two literal dimensions (kinds of attention, stems) are only ever
 joined to such views.
 """
@@ -21,6 +21,9 @@ BASE_TABLES = (
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+# EACH(a,b,...) gives one row per value; it is the one construct the engines spell differently.
+_EACH = re.compile(r"EACH\(([^)]*)\)")
+
 VIEWS = {
     "feeds": """
 SELECT DISTINCT cast(substr(source,4) AS bigint) AS id,
@@ -50,10 +53,14 @@ FROM documents""",
 SELECT p_partkey AS id, CASE WHEN p_size <= 25 THEN 'course' ELSE 'resource' END AS grain_size,
        cast(p_partkey % 2 AS int) AS language_id, p_name AS title
 FROM part""",
+    # A part has one name of each kind, so (part, kind) numbers the names without a sort.
     "subjects": """
-SELECT cast(row_number() OVER (ORDER BY name) AS bigint) AS id, name FROM (
-  SELECT split_part(p_name,' ',1) AS name FROM part UNION SELECT split_part(p_name,' ',2) FROM part
-  UNION SELECT lower(p_type) FROM part UNION SELECT p_brand FROM part) n""",
+SELECT cast(min(k) AS bigint) AS id, name FROM (
+  SELECT p_partkey*4 AS k, split_part(p_name,' ',1) AS name FROM part
+  UNION ALL SELECT p_partkey*4 + 1, split_part(p_name,' ',2) FROM part
+  UNION ALL SELECT p_partkey*4 + 2, lower(p_type) FROM part
+  UNION ALL SELECT p_partkey*4 + 3, p_brand FROM part) n
+GROUP BY name""",
     "entries_subjects": """
 SELECT t.entry_id, s.id AS subject_id, t.autogenerated FROM (
   SELECT p_partkey AS entry_id, split_part(p_name,' ',1) AS name, false AS autogenerated FROM part
@@ -73,7 +80,7 @@ FROM events e JOIN attention_types a ON a.name = e.event_type""",
     "users": "SELECT user_id AS id, cast(max(ts) AS timestamp) AS last_request_at FROM events GROUP BY user_id",
     # Six destinations per entry; the numbers of clicks and the times vary so that
     # every bucket is filled.  Follows the documents, not a fixed range.
-    "steps": "\nUNION ALL ".join(f"SELECT doc_id AS i, {r} AS r FROM documents" for r in range(1, 7)),
+    "steps": "SELECT doc_id AS i, EACH(1,2,3,4,5,6) AS r FROM documents",
     "recommendations": """
 SELECT i*10 + r AS id, i AS entry_id, dest AS dest_entry_id, cast(r AS int) AS rank,
        (700 - 100*r + (i*37 + r*11) % 90) / 1000.0E0 AS relevance, cast((i*r) % 17 AS int) AS clicks,
@@ -132,6 +139,7 @@ def oracle_text(body: str, *views: str, extra: dict[str, str] | None = None) ->
     if not parts:
         return body
     shared = ",\n".join(f"{name} AS ({text})" for name, text in parts.items())
+    shared = _EACH.sub(r"unnest([\1])", shared)
     # A body with expressions of its own continues the list.
     for opening in ("WITH RECURSIVE ", "WITH "):
         if body.startswith(opening):
@@ -159,4 +167,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     tables = {t: base_table(spark, sf_dir, t) for t in BASE_TABLES if t in words}
     parts = [f"{t} AS (SELECT * FROM {{{t}}})" for t in tables]
     parts += [f"{n} AS ({VIEWS[n]})" for n in names]
-    return spark.sql("WITH " + ",\n".join(parts) + f"\nSELECT * FROM {name}", **tables)
+    text = "WITH " + ",\n".join(parts) + f"\nSELECT * FROM {name}"
+    return spark.sql(_EACH.sub(r"explode(array(\1))", text), **tables)
