@@ -7,7 +7,7 @@ returns the next catalogue; tables that later steps read are stored in between.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.lineage import cut
 from shelfmark.operators import buckets, corpus, personal, popularity, similar, snapshots, subjects, tagcloud, worksets
@@ -30,8 +30,8 @@ def empty_catalogue(spark: SparkSession) -> Catalogue:
 
 def harvest(entries: DataFrame, changes: DataFrame) -> DataFrame:
     """Entries after a harvest: the newest change of an id wins and keeps the stamps of the stored entry."""
-    newest = Window.partitionBy("id").orderBy(F.col("harvested_at").desc())
-    latest = changes.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") == 1).drop("_n")
+    row = F.struct(*[F.col(c) for c in changes.columns])
+    latest = changes.groupBy("id").agg(F.max_by(row, "harvested_at").alias("_row")).select("_row.*")
     stamps = entries.select(
         "id", F.col("indexed_at").alias("_indexed"), F.col("relevance_calculated_at").alias("_calculated")
     )
