@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 # Side length of a cell: rows of one key that meet in one task are at most this
 # many from each side.
 CELL_ROWS = 2_000
+# Products one task of an expanding join should make.
+PRODUCTS_PER_TASK = 1_000_000
 # A table of hot keys up to this many rows may be broadcast.
 BROADCAST_ROWS = 200_000
 # Number of md5 prefixes used for numbering (three hex digits).
@@ -44,19 +47,24 @@ def expanding_join(
     product.  Keys that fit one cell are joined as they are.
 
     ``sizes`` has the keys with ``left_rows`` and ``right_rows``, exact or upper
-    bounds.  Runs one job to see whether there are hot keys at all.  Both sides
-    are spread over the full number of shuffle partitions: their input is small
+    bounds.  Runs one job over it, to see whether there are hot keys at all and how
+    large the product is.  Both sides are spread over as many partitions as the
+    product asks for, up to the number of shuffle partitions: their input is small
     next to the product, so it must not be coalesced by input size.
     """
     keys = list(keys)
     spark = left.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    hot = sizes.filter(F.greatest("left_rows", "right_rows") > cell_rows).select(
+    is_hot = F.greatest("left_rows", "right_rows") > cell_rows
+    products = F.col("left_rows").cast("double") * F.col("right_rows")
+    size = sizes.agg(F.sum(products).alias("products"), F.count_if(is_hot).alias("hot")).first()
+    found = size["hot"]
+    limit = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(1, min(limit, ceil((size["products"] or 0) / PRODUCTS_PER_TASK)))
+    hot = sizes.filter(is_hot).select(
         *keys,
         F.ceil(F.col("left_rows") / cell_rows).cast("int").alias("_lines"),
         F.ceil(F.col("right_rows") / cell_rows).cast("int").alias("_columns"),
     )
-    found = hot.limit(BROADCAST_ROWS + 1).count()
     if found:
         if found <= BROADCAST_ROWS:
             hot = F.broadcast(hot)
