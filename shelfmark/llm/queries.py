@@ -9,9 +9,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import exact, simhash
+from shelfmark.llm import exact, mixing, simhash, toxicity, word_bpe
+from shelfmark.llm.rows import ship_package
 from shelfmark.session import apply_settings
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,6 +23,7 @@ def query(sql: str | None = None):
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             apply_settings(spark)
+            ship_package(spark)
             return fn(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
         _QUERIES[fn.__name__] = run
@@ -40,6 +42,99 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
 
 
+#: Target weights: domains, languages within a domain, single sources.
+DOMAIN = "concat('domain', cast(try_cast(substr(source, 4) AS bigint) % 3 AS string))"
+TARGETS = [
+    ("domain0", None, None, 5), ("domain1", None, None, 3), ("domain2", None, None, 2),
+    *[(f"domain{d}", lang, None, weight) for d in range(3) for lang, weight in (("en", 6), ("de", 2), ("fr", 2), ("es", 1))],
+    ("domain0", "en", "src0", 3), ("domain0", "en", "src3", 2), ("domain1", "en", "src7", 4), ("domain2", "de", "src2", 2),
+]
+BUDGET_PERCENT = 80
+
+
+def target_weights(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT * FROM VALUES {_target_values()} AS t(domain, lang, source, weight)")
+
+
+def _target_values() -> str:
+    text = lambda x: "cast(NULL AS string)" if x is None else f"'{x}'"
+    return ", ".join(f"({text(d)}, {text(lang)}, {text(s)}, {w})" for d, lang, s, w in TARGETS)
+
+
+def _deal_sql(name: str, parent: str, above: list[str], own: list[str]) -> str:
+    """Water filling of one level, written as the recurrence over saturated children."""
+    keys = ", ".join(["root", *above])
+    on = ", ".join(["root", *above])
+    return f"""
+{name}_nodes AS (
+  SELECT root, {", ".join(own)}, sum(cap) AS cap, max({own[-1]}_w) AS w FROM leaf GROUP BY ALL),
+{name}_marked AS (
+  SELECT n.*, p.budget AS b,
+         cap::double <= (p.budget - coalesce(sum(cap) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::double
+           / sum(w) OVER (f ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * w AS is_full
+  FROM {name}_nodes n JOIN {parent} p USING ({on})
+  WINDOW f AS (PARTITION BY {keys.replace("root", "n.root")} ORDER BY cap::double / w, {own[-1]})),
+{name} AS (
+  SELECT root, {", ".join(own)},
+         CASE WHEN is_full THEN cap ELSE greatest(0, floor(
+           (b - coalesce(sum(cap) FILTER (is_full) OVER g, 0))::double / sum(w) FILTER (NOT is_full) OVER g * w)) END::bigint AS budget
+  FROM {name}_marked WINDOW g AS (PARTITION BY {keys}))"""
+
+
+@query(f"""
+WITH docs AS (
+  SELECT doc_id, coalesce({DOMAIN}, 'unknown') AS domain, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+         length(coalesce(text, '')) - length(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) + 1 AS tokens
+  FROM documents),
+targets AS (SELECT * FROM (VALUES {_target_values()}) AS t(domain, lang, source, weight)),
+leaf AS (
+  SELECT 0 AS root, d.domain, d.lang, d.source, sum(tokens)::bigint AS supply, 3 * sum(tokens)::bigint AS cap,
+         coalesce(any_value(a.weight), 1)::bigint AS domain_w, coalesce(any_value(b.weight), 1)::bigint AS lang_w,
+         coalesce(any_value(c.weight), 1)::bigint AS source_w
+  FROM docs d
+  LEFT JOIN targets a ON a.domain = d.domain AND a.lang IS NULL
+  LEFT JOIN targets b ON b.domain = d.domain AND b.lang = d.lang AND b.source IS NULL
+  LEFT JOIN targets c ON c.domain = d.domain AND c.lang = d.lang AND c.source = d.source
+  GROUP BY ALL),
+top AS (SELECT 0 AS root, floor(sum(supply) * {BUDGET_PERCENT}.0::double / 100)::bigint AS budget FROM leaf),
+{_deal_sql("domains", "top", [], ["domain"])},
+{_deal_sql("langs", "domains", ["domain"], ["domain", "lang"])},
+{_deal_sql("sources", "langs", ["domain", "lang"], ["domain", "lang", "source"])},
+share AS (
+  SELECT domain, lang, source, s.budget // l.supply AS passes, s.budget % l.supply AS rest
+  FROM sources s JOIN leaf l USING (domain, lang, source) WHERE s.budget > 0),
+ranked AS (
+  SELECT d.*, passes, rest, sum(tokens) OVER (
+           PARTITION BY domain, lang, source
+           ORDER BY md5(concat('7:', cast(passes + 1 AS varchar), ':', cast(doc_id AS varchar))), tokens
+           ROWS UNBOUNDED PRECEDING) AS total
+  FROM docs d JOIN share USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, tokens::bigint AS n_tokens, (passes + (total <= rest)::bigint)::bigint AS copies
+FROM ranked WHERE passes + (total <= rest)::bigint > 0
+""".replace("cast(NULL AS string)", "cast(NULL AS varchar)"))
+def op4_mixing(t) -> DataFrame:
+    docs = t("documents")
+    return mixing.mix(
+        docs.select("doc_id", "lang", "source", "text"), target_weights(docs.sparkSession), F.expr(DOMAIN), BUDGET_PERCENT,
+    ).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
+
+
+@query()
+def op6_word_bpe(t) -> DataFrame:
+    import public_tokenizers
+
+    return word_bpe.encode(t("documents"), public_tokenizers.path("word_bpe_49k.json")).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op7_toxicity(t) -> DataFrame:
+    return toxicity.score(t("documents"), toxicity.fit(t("documents"), t("labels")))
+
+
 @query()
 def op8_simhash(t) -> DataFrame:
     return simhash.near_duplicates(t("documents"))
