@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import exact, mixing, simhash, toxicity, word_bpe
+from shelfmark.llm import exact, mixing, simhash, toxicity, warc, word_bpe
 from shelfmark.llm.rows import ship_package
 from shelfmark.session import apply_settings
 
@@ -153,3 +153,24 @@ FROM rows r JOIN winners w USING (content)
 """)
 def op9_exact_dedup(t) -> DataFrame:
     return exact.duplicate_groups(t("documents")).drop("n_chars")
+
+
+@query("""
+WITH rows AS (
+  SELECT page_id, coalesce(html, '') AS html, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages),
+bits AS (
+  SELECT *, array_to_string([
+      substr('0000000100100011010001010110011110001001101010111100110111101111',
+             4 * (strpos('0123456789abcdef', substr(sha1(html), k::int, 1))::int - 1) + 1, 4)
+      FOR k IN range(1, 41)], '') AS b
+  FROM rows)
+SELECT page_id, cast(octet_length(encode(html)) AS bigint) AS payload_bytes,
+       array_to_string([
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ('0b' || substr(b, 5 * i::int + 1, 5))::int + 1, 1) FOR i IN range(32)], '')
+         AS payload_digest,
+       CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id > first THEN first END AS refers_to
+FROM bits
+""")
+def op10_warc(t) -> DataFrame:
+    return warc.round_trip(t("pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
