@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import exact, mixing, permutation, simhash, toxicity, warc, word_bpe
+from shelfmark.llm import exact, extract, mixing, permutation, simhash, toxicity, warc, word_bpe
 from shelfmark.llm.rows import ship_package
 from shelfmark.session import apply_settings
 
@@ -42,6 +42,11 @@ def oracle_sql() -> dict[str, str]:
     return dict(_ORACLE)
 
 
+@query()
+def op1_extract(t) -> DataFrame:
+    return extract.extract(t("pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 @query()
 def op3_permutation_index(t) -> DataFrame:
     return permutation.nearest_neighbours(t("embeddings"), F.col("vec_id") % 50 == 0)
