@@ -109,17 +109,17 @@ def encode(
         """Ids back to the places of their words; pieces by id."""
         pieces = _pieces(path)
         n = block["n_words"][0].as_py()
-        sizes, starts, flat, at = np.zeros(n, np.int64), np.zeros(n, np.int64), [], 0
+        sizes, starts, flat, at = np.zeros(n, np.int32), np.zeros(n, np.int32), [], 0
         for numbers, size, ids in zip(*[answer[c].to_pylist() for c in ("numbers", "sizes", "ids")]):
-            own, count = np.cumsum(unpack_numbers(numbers, np.int32)), unpack_numbers(size, np.int32)
+            own, count = np.cumsum(unpack_numbers(numbers)), unpack_numbers(size)
             sizes[own] = count
             starts[own] = at + np.concatenate(([0], np.cumsum(count[:-1])))
-            flat.append(unpack_numbers(ids, np.int32))
+            flat.append(unpack_numbers(ids))
             at += len(flat[-1])
         ids = np.concatenate(flat) if flat else np.zeros(0, np.int32)
         as_text = [pieces[i] for i in ids.tolist()]
         decoded = [" ".join(as_text[s:s + k]) for s, k in zip(starts.tolist(), sizes.tolist())]
-        codes = unpack_numbers(block["codes"][0].as_py(), np.int32)
+        codes = unpack_numbers(block["codes"][0].as_py())
         offsets, out_ids, texts = [0], [], []
         for x, z in spans(block["lengths"][0].as_py()):
             own = codes[x:z]
