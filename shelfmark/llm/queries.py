@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import exact, extract, mixing, permutation, simhash, toxicity, warc, word_bpe
+from shelfmark.llm import backoff, exact, extract, mixing, permutation, simhash, toolcalls, toxicity, warc, word_bpe
 from shelfmark.llm.rows import ship_package
 from shelfmark.session import apply_settings
 
@@ -47,6 +47,35 @@ def op1_extract(t) -> DataFrame:
     return extract.extract(t("pages")).withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+@query("""
+WITH docs AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS words
+  FROM documents),
+places AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM docs),
+pairs AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY pos) AS h FROM places),
+counts AS (
+  SELECT doc_id, pos, h,
+         count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS n1,
+         count(h) OVER (PARTITION BY h, w) - count(h) OVER (PARTITION BY doc_id, h, w) AS n2,
+         count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS n
+  FROM pairs),
+scores AS (
+  SELECT doc_id,
+         CASE WHEN n1 > 0 THEN n1 / greatest(1, n) ELSE 1 / (n + 1) END AS single,
+         CASE WHEN h IS NOT NULL AND n2 > 0 THEN n2 / lag(n1) OVER (PARTITION BY doc_id ORDER BY pos) END AS double, h
+  FROM counts),
+sums AS (
+  SELECT doc_id, count(*) AS n_words, sum(ln(CASE WHEN h IS NULL THEN single ELSE coalesce(double, 0.4 * single) END)) AS s
+  FROM scores GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0)::bigint AS n_words, round(s, 4) AS log_score, round(exp(-s / n_words), 4) AS perplexity
+FROM docs LEFT JOIN sums USING (doc_id)
+""")
+def op2_backoff(t) -> DataFrame:
+    return backoff.score(t("documents")).select(
+        "doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("perplexity", 4).alias("perplexity"))
+
+
 @query()
 def op3_permutation_index(t) -> DataFrame:
     return permutation.nearest_neighbours(t("embeddings"), F.col("vec_id") % 50 == 0)
@@ -129,6 +158,67 @@ def op4_mixing(t) -> DataFrame:
     ).select("doc_id", "domain", "lang", "source", "n_tokens", "copies")
 
 
+#: The tools that assistant turns of `conversations` are read as calls of.
+TOOLS = [("search", "query", "string", "true"), ("search", "limit", "integer", "false"), ("lookup", "key", "string", "true"),
+         ("lookup", "strict", "boolean", "false"), ("note", "text", "string", "true")]
+
+
+def tool_calls(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Assistant turns as calls, the turn after each as its result; some arguments break their schema on purpose."""
+    turns = conversations.select("conv_id", "turn", "role", "text", toolcalls.json_text(F.coalesce("text", F.lit(""))).alias("quoted"))
+    call = lambda turn: F.expr(f"concat('c', conv_id, '-', {turn})")
+    calls = turns.filter("role = 'assistant'").select(
+        "conv_id", "turn", call("turn").alias("call_id"),
+        F.expr("CASE turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'note' END").alias("name"),
+        F.expr("""CASE WHEN turn % 3 = 0 THEN concat('{ "query": ', quoted, ', "limit": ', if(conv_id % 7 = 0, '"many"', cast(turn AS string)), ' }')
+                       WHEN turn % 3 = 1 AND conv_id % 11 = 0 THEN '{"strict": true}'
+                       WHEN turn % 3 = 1 THEN concat('{"strict": true, "key": ', quoted, '}')
+                       WHEN conv_id % 13 = 0 THEN concat('{"text": ', quoted)
+                       ELSE concat('{"text": ', quoted, '}') END""").alias("arguments"),
+        F.when(F.expr("turn % 8 > 2"), F.array(call("turn - turn % 8 + 1"))).alias("needs"))
+    results = turns.filter("role = 'user' AND turn > 0").select(
+        "conv_id", "turn", call("turn - 1").alias("call_id"), F.col("text").alias("content"))
+    return calls, results
+
+
+@query("""
+WITH calls AS (
+  SELECT *, concat('c', conv_id, '-', turn) AS call_id, to_json(coalesce(text, ''))::varchar AS quoted,
+         CASE turn % 3 WHEN 0 THEN 'search' WHEN 1 THEN 'lookup' ELSE 'note' END AS name,
+         CASE WHEN turn % 8 > 2 THEN turn - turn % 8 + 1 END AS need
+  FROM conversations WHERE role = 'assistant'),
+results AS (SELECT conv_id, turn, text, turn - 1 AS call_turn FROM conversations WHERE role = 'user' AND turn > 0),
+checked AS (
+  SELECT c.*, r.text AS result, r.turn AS result_turn,
+         CASE WHEN name = 'search' AND c.conv_id % 7 = 0 THEN 'type of limit'
+              WHEN name = 'lookup' AND c.conv_id % 11 = 0 THEN 'missing key' ELSE '' END AS problems,
+         CASE WHEN name = 'search' THEN concat('{"limit":', CASE WHEN c.conv_id % 7 = 0 THEN '"many"' ELSE c.turn::varchar END, ',"query":', quoted, '}')
+              WHEN name = 'lookup' AND c.conv_id % 11 = 0 THEN '{"strict":true}'
+              WHEN name = 'lookup' THEN concat('{"key":', quoted, ',"strict":true}')
+              WHEN c.conv_id % 13 = 0 THEN NULL
+              ELSE concat('{"text":', quoted, '}') END AS canonical,
+         need IS NOT NULL AND h.turn IS NULL AS lacks, h.turn IS NOT NULL AS waits
+  FROM calls c
+  LEFT JOIN (SELECT conv_id, turn FROM calls) h ON h.conv_id = c.conv_id AND h.turn = c.need
+  LEFT JOIN results r ON r.conv_id = c.conv_id AND r.call_turn = c.turn)
+SELECT conv_id, turn, call_id, name, waits::int AS level,
+       CASE WHEN canonical IS NULL THEN 'not_an_object' WHEN problems <> '' THEN 'bad_arguments' WHEN lacks THEN 'missing_need'
+            WHEN result_turn IS NULL THEN 'no_result' ELSE 'ok' END AS status, problems,
+       concat('{"arguments":', coalesce(canonical, 'null'), ',"id":"', call_id, '","name":"', name, '","result":',
+              CASE WHEN result_turn IS NULL THEN 'null' ELSE to_json(coalesce(result, ''))::varchar END, '}') AS json
+FROM checked
+UNION ALL
+SELECT conv_id, turn, concat('c', conv_id, '-', call_turn), NULL, NULL, 'orphan_result', '',
+       concat('{"arguments":null,"id":"', concat('c', conv_id, '-', call_turn), '","name":null,"result":', to_json(coalesce(text, ''))::varchar, '}')
+FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.turn = r.call_turn)
+""")
+def op5_toolcalls(t) -> DataFrame:
+    conversations = t("conversations")
+    tools = ", ".join(f"('{n}', '{p}', '{k}', {r})" for n, p, k, r in TOOLS)
+    schemas = conversations.sparkSession.sql(f"SELECT * FROM VALUES {tools} AS t(name, parameter, type, required)")
+    return toolcalls.link(*tool_calls(conversations), schemas)
+
+
 @query()
 def op6_word_bpe(t) -> DataFrame:
     import public_tokenizers
