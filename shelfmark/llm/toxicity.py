@@ -135,6 +135,26 @@ def _toxic_candidates(sample: DataFrame) -> list[str]:
     return [r["feature"] for r in counted.orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES).collect()]
 
 
+def _counts(sample: DataFrame, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """In how many sampled documents, and in how many toxic ones, each feature occurs."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((2, len(index)), np.int64)
+        for batch in batches:
+            for toxic, text in zip(batch["toxic"], batch["text"]):
+                has = [index[f] for f in _features(text) if f in index]
+                sums[0, has] += 1
+                sums[1, has] += int(toxic > 0)
+        seen = np.nonzero(sums[0])[0]
+        yield pd.DataFrame({"feature": seen, "seen": sums[0, seen], "toxic": sums[1, seen]})
+
+    counted = sample.select("toxic", "text").mapInPandas(count, "feature int, seen bigint, toxic bigint")
+    found = counted.groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic")).toPandas()
+    out = np.zeros((2, len(index)))
+    out[:, found["feature"]] = found[["seen", "toxic"]].to_numpy(float).T
+    return out[0], out[1]
+
+
 def _vectors(sample: DataFrame, index: dict[str, int], terms: tuple[str, ...]) -> pd.DataFrame:
     """Per sampled document its features, and what a swap in one of its sentences adds and takes away."""
 
@@ -161,12 +181,11 @@ def _vectors(sample: DataFrame, index: dict[str, int], terms: tuple[str, ...]) -
     )
 
 
-def _sparse(columns: pd.Series, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and new column numbers of packed feature lists; ``keep`` maps a feature to its new number or -1."""
-    lists = [keep[np.frombuffer(b, np.int32)] for b in columns]
-    lists = [x[x >= 0] for x in lists]
+def _sparse(packed: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of packed feature lists."""
+    lists = [np.frombuffer(b, np.int32) for b in packed]
     rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    return rows, np.concatenate(lists) if lists else np.zeros(0, np.int64)
+    return rows, np.concatenate(lists) if lists else np.zeros(0, np.int32)
 
 
 def _descend(y: np.ndarray, has, plus, minus, m: int) -> tuple[np.ndarray, float]:
@@ -211,24 +230,17 @@ def fit(
         .join(F.broadcast(chosen), "doc_id")
     )
     names = list(dict.fromkeys([*terms, *_toxic_candidates(sample)]))
+    seen, toxic = _counts(sample, {f: i for i, f in enumerate(names)})
+    share, z2, n = toxic / np.maximum(seen, 1), CONFIDENCE**2, np.maximum(seen, 1)
+    lowest = (toxic + z2 / 2 - CONFIDENCE * np.sqrt(share * (1 - share) * n + z2 / 4)) / (n + z2)
+    wanted = np.nonzero((toxic >= MIN_TOXIC) & (lowest >= MIN_SHARE) | (np.arange(len(names)) < len(terms)))[0]
+    names = [names[i] for i in wanted[np.argsort(-lowest[wanted], kind="stable")][:MAX_FEATURES]]
     data = _vectors(sample, {f: i for i, f in enumerate(names)}, terms)
     y = data["toxic"].to_numpy(float)
-    n = len(y)
-    if not n or not y.any():
-        return Model({}, float(np.log((y.sum() + 0.5) / (n + 9.5))))
-    everything = np.arange(len(names))
-    rows, cols = _sparse(data["has"], everything)
-    seen, toxic = np.bincount(cols, minlength=len(names)), np.bincount(cols, y[rows], len(names))
-    share = toxic / np.maximum(seen, 1)
-    z2 = CONFIDENCE**2
-    spread = CONFIDENCE * np.sqrt(share * (1 - share) * np.maximum(seen, 1) + z2 / 4)
-    lowest = (toxic + z2 / 2 - spread) / (np.maximum(seen, 1) + z2)
-    wanted = np.nonzero((toxic >= MIN_TOXIC) & (lowest >= MIN_SHARE) | (everything < len(terms)))[0]
-    wanted = np.sort(wanted[np.argsort(-lowest[wanted], kind="stable")][:MAX_FEATURES])
-    keep = np.full(len(names), -1)
-    keep[wanted] = np.arange(len(wanted))
-    w, b = _descend(y, *[_sparse(data[c], keep) for c in ("has", "plus", "minus")], len(wanted))
-    return Model({names[i]: float(x) for i, x in zip(wanted, w) if x > 0}, float(b))
+    if not len(y) or not y.any():
+        return Model({}, float(np.log((y.sum() + 0.5) / (len(y) + 9.5))))
+    w, b = _descend(y, *[_sparse(data[c]) for c in ("has", "plus", "minus")], len(names))
+    return Model({f: float(x) for f, x in zip(names, w) if x > 0}, float(b))
 
 
 def score_column(model: Model, text: str = "text") -> Column:
