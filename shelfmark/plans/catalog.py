@@ -25,8 +25,6 @@ _QUERIES: dict[str, Callable[[Tables], DataFrame]] = {}
 _ORACLE: dict[str, str] = {}
 
 NOW = f"timestamp '{AS_OF}'"
-USER_LIMIT = 99  # user ids start at 0: the first hundred users
-N_USERS = 100
 
 
 def query(sql: str | None = None, views: str = "", ctes: tuple[str, ...] = ()):
@@ -176,16 +174,13 @@ FROM (SELECT user_id, entry_id, score FROM cf
       UNION ALL SELECT c.user_id, r.dest_entry_id, c.score * r.relevance
       FROM cf c JOIN recommendations r ON r.entry_id = c.entry_id AND r.dest_entry_id <> r.entry_id) x
 GROUP BY user_id, entry_id HAVING max(score) > 0""",
-    "edges": f"""
-SELECT user_id, movie_id, count(*) AS n FROM ratings WHERE rate >= 3 AND user_id <= {USER_LIMIT}
-GROUP BY user_id, movie_id""",
+    "edges": "SELECT user_id, movie_id, count(*) AS n FROM ratings WHERE rate >= 3 GROUP BY user_id, movie_id",
     "diffusion": """
 SELECT i.user_id, o.movie_id AS entry_id, sum(1.0 / k.d / u.d) AS score
 FROM edges i JOIN edges v ON v.movie_id = i.movie_id JOIN edges o ON o.user_id = v.user_id
 JOIN (SELECT movie_id, sum(n) AS d FROM edges GROUP BY movie_id) k ON k.movie_id = i.movie_id
 JOIN (SELECT user_id, sum(n) AS d FROM edges GROUP BY user_id) u ON u.user_id = v.user_id
 GROUP BY i.user_id, o.movie_id""",
-    "all_edges": "SELECT user_id, movie_id, count(*) AS n FROM ratings WHERE rate >= 3 GROUP BY user_id, movie_id",
     "decayed": f"""
 SELECT a.attentionable_id AS user_id, r.dest_entry_id,
        max(a.weight * t.default_weight * r.relevance * {_decay('a.created_at')} * {_decay('e.published_at')}) AS score
@@ -285,7 +280,7 @@ _CTE_DEPENDS = {
 _CTE_VIEWS = {
     "corpus": "entries feeds", "fields": "entries_subjects subjects aggregation_feeds", "hits": "aggregation_feeds",
     "candidates": "entries", "bucketed": "recommendations", "cells": "attentions attention_types",
-    "scf": "recommendations", "edges": "ratings", "all_edges": "ratings", "decayed": "attentions attention_types recommendations entries",
+    "scf": "recommendations", "edges": "ratings", "decayed": "attentions attention_types recommendations entries",
     "due_daily": "personal_recommendations users attentions", "due_weekly": "personal_recommendations users attentions",
     "grains": "item_entries", "cloud1": "entries_subjects subjects", "cloud2": "entries_subjects subjects",
     "cloud3": "entries_subjects subjects", "popular_subjects": "taggings subjects", "cleaned": "entries",
@@ -342,7 +337,7 @@ def _scf(t: Tables) -> DataFrame:
 
 
 def _diffusion(t: Tables) -> DataFrame:
-    return bipartite.bipartite_scores(t("ratings"), user_limit=USER_LIMIT)
+    return bipartite.bipartite_scores(t("ratings"))
 
 
 def _decayed(t: Tables) -> DataFrame:
@@ -830,28 +825,24 @@ def bipartite_scores(t):
 
 
 @query(f"""SELECT user_id, count(*) AS n_reached, round(sum(score) + {_STEP}, 6) AS mass, round(max(score) + {_STEP}, 6) AS best
-FROM (SELECT i.user_id, o.movie_id, sum(1.0 / k.d / u.d) AS score
-      FROM all_edges i JOIN all_edges v ON v.movie_id = i.movie_id JOIN all_edges o ON o.user_id = v.user_id
-      JOIN (SELECT movie_id, sum(n) AS d FROM all_edges GROUP BY movie_id) k ON k.movie_id = i.movie_id
-      JOIN (SELECT user_id, sum(n) AS d FROM all_edges GROUP BY user_id) u ON u.user_id = v.user_id
-      GROUP BY i.user_id, o.movie_id) x GROUP BY user_id""", ctes=("all_edges",))
+FROM diffusion GROUP BY user_id""", ctes=("diffusion",))
 def bipartite_all_users(t):
-    """Diffusion without the limit on users, summed up per user."""
-    scores = bipartite.bipartite_scores(t("ratings"), user_limit=None)
-    totals = scores.groupBy("user_id").agg(
+    """Diffusion summed up per user."""
+    totals = _diffusion(t).groupBy("user_id").agg(
         F.count(F.lit(1)).alias("n_reached"), (F.sum("score") + _STEP).alias("mass"), (F.max("score") + _STEP).alias("best")
     )
     return _rounded(totals, "mass", "best")
 
 
 @query(f"""SELECT user_id, entry_id, round(score + {_STEP}, 6) AS score FROM diffusion d
-WHERE round(score, 9) > (SELECT round(2 * sum(score) / ({N_USERS} * (SELECT count(*) FROM part)), 9) FROM diffusion)
+WHERE round(score, 9) > (SELECT round(2 * sum(score) / ((SELECT count(DISTINCT user_id) FROM ratings) * (SELECT count(*) FROM part)), 9) FROM diffusion)
   AND NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = d.user_id AND r.movie_id = d.entry_id)""",
        "ratings", ctes=("diffusion",))
 def bipartite_recommendations(t):
+    users = t("ratings").agg(F.count_distinct("user_id")).scalar()
     items = t("part").agg(F.count(F.lit(1))).scalar()
     chosen = bipartite.bipartite_recommendations(
-        _diffusion(t), collaborative.rated_pairs(t("ratings")), N_USERS, items
+        _diffusion(t), collaborative.rated_pairs(t("ratings")), users, items
     )
     return _rounded(chosen.withColumn("score", F.col("score") + _STEP), "score")
 

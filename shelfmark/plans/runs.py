@@ -22,6 +22,9 @@ STATE_TABLES = (
 # The aggregation whose members may be recommended, entries of a first run.
 GLOBAL_AGGREGATION = 1
 BOOTSTRAP_ENTRIES = 200
+# Stamp of an entry that was never indexed: later than `snapshots.NEVER`, because an entry is due for recommendations
+# when it was indexed after they were computed.
+NEVER_INDEXED = "1971-01-02 00:00:00"
 
 
 def empty_catalogue(spark: SparkSession) -> Catalogue:
@@ -29,19 +32,30 @@ def empty_catalogue(spark: SparkSession) -> Catalogue:
 
 
 def harvest(entries: DataFrame, changes: DataFrame) -> DataFrame:
-    """Entries after a harvest: the newest change of an id wins and keeps the stamps of the stored entry."""
-    row = F.struct(*[F.col(c) for c in changes.columns])
-    latest = changes.groupBy("id").agg(F.max_by(row, "harvested_at").alias("_row")).select("_row.*")
+    """Entries after a harvest: the newest change of an id wins and keeps the stamps of the stored entry.
+
+    A change without a harvest time is older than any with one; changes of one
+    time are decided by their other columns, so the outcome does not depend on
+    the order of the rows.  An entry seen for the first time has never been
+    indexed or recommended and gets the stamps that say so, which makes it due.
+    """
+    columns = entries.columns
+    named = F.struct(
+        F.coalesce("harvested_at", F.lit("0001-01-01").cast("timestamp")).alias("_order"), *[F.col(c) for c in columns])
+    latest = changes.groupBy("id").agg(F.max(named).alias("_row")).select([F.col(f"_row.{c}").alias(c) for c in columns])
     stamps = entries.select(
         "id", F.col("indexed_at").alias("_indexed"), F.col("relevance_calculated_at").alias("_calculated")
     )
     merged = (
         latest.join(stamps, "id", "left")
-        .withColumn("indexed_at", F.coalesce("_indexed", "indexed_at"))
-        .withColumn("relevance_calculated_at", F.coalesce("_calculated", "relevance_calculated_at"))
-        .select(*entries.columns)
+        .withColumn("indexed_at", F.coalesce("_indexed", "indexed_at", F.lit(NEVER_INDEXED).cast("timestamp")))
+        .withColumn("relevance_calculated_at", F.coalesce(
+            "_calculated", "relevance_calculated_at", F.lit(snapshots.NEVER).cast("timestamp")))
+        # A change of unknown time is a change all the same and has to be processed.
+        .withColumn("harvested_at", F.coalesce("harvested_at", F.col("indexed_at") + F.expr("interval 1 second")))
+        .select(*columns)
     )
-    return entries.join(latest.select("id"), "id", "left_anti").unionByName(merged).select(*entries.columns)
+    return entries.join(latest.select("id"), "id", "left_anti").unionByName(merged).select(*columns)
 
 
 def maintain_corpus(state: Catalogue, as_of, all: bool = False) -> Catalogue:
@@ -130,25 +144,33 @@ def run_incremental(state: Catalogue, changes: DataFrame, as_of) -> Catalogue:
 
 
 def run_full(state: Catalogue, changes: DataFrame, as_of, depth: int = 3) -> Catalogue:
-    """Harvest, index, recommend, generate subjects, index again and rebuild the clouds, for all entries.
+    """Harvest, index, recommend, generate subjects and rebuild the clouds, for all entries.
 
-    Subjects are generated for the entries recommended in this run; asking for
+    Subjects are joined to the corpus when its terms are counted, so new ones need
+    no second indexing.  Subjects are generated for the entries recommended in this run; asking for
     their stamps afterwards would find none, because recommending renews them.
     """
     state = {**state, "entries": cut(harvest(state["entries"], changes))}
     state = maintain_corpus(state, as_of, all=True)
     work = cut(worksets.entries_to_recommend(state["entries"], all=True))
     state = recommend(state, as_of, all=True)
-    state = add_subjects(state, work)
-    return update_clouds(maintain_corpus(state, as_of, all=True), depth)
+    return update_clouds(add_subjects(state, work), depth)
 
 
 def run_bootstrap(state: Catalogue, changes: DataFrame, as_of, n: int = BOOTSTRAP_ENTRIES) -> Catalogue:
-    """A first run over ``n`` entries with the top-level clouds only."""
-    state = {**state, "entries": cut(harvest(state["entries"], worksets.bootstrap_limit(changes, n)))}
+    """A first run that works on ``n`` entries, with the top-level clouds only.
+
+    All changes become entries; those beyond ``n`` keep the stamps of entries that
+    were never processed and are due in the next run.
+    """
+    entries = cut(harvest(state["entries"], changes))
+    chosen = worksets.bootstrap_limit(entries, n).select("id")
+    later = cut(entries.join(chosen, "id", "left_anti"))
+    state = {**state, "entries": cut(entries.join(chosen, "id", "left_semi"))}
     state = maintain_corpus(state, as_of)
     work = cut(worksets.entries_to_recommend(state["entries"]))
-    return update_clouds(add_subjects(recommend(state, as_of), work), depth=1)
+    state = update_clouds(add_subjects(recommend(state, as_of), work), depth=1)
+    return {**state, "entries": cut(state["entries"].unionByName(later))}
 
 
 def refresh_personal(state: Catalogue, tables: Catalogue, as_of, weekly: bool = False) -> DataFrame:

@@ -38,7 +38,7 @@ SELECT doc_id AS id, cast(substr(source,4) AS bigint) AS feed_id, lang,
        concat('http://', source, '.example.org/d/', cast(doc_id AS string)) AS permalink,
        CASE doc_id % 3 WHEN 0 THEN NULL WHEN 1 THEN ''
             ELSE concat('http://cdn.example.org/', cast(doc_id AS string)) END AS direct_link,
-       substr(split_part(text, chr(10), 1), 1, 60) AS title, text AS description,
+       split_part(text, chr(10), 1) AS title, text AS description,
        CASE WHEN doc_id % 29 = 0 THEN NULL WHEN doc_id % 4 = 0 THEN 'course' ELSE 'resource' END AS grain_size,
        doc_id % 17 <> 0 AS permalink_good,
        CASE WHEN doc_id % 23 = 0 THEN 'deleted' WHEN doc_id % 19 = 0 THEN NULL

@@ -30,8 +30,10 @@ def stream_entries(
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         changed = runs.cut(batch)
-        moment = as_of or changed.selectExpr("max(harvested_at) + interval 1 second AS m").first()["m"]
         state = runs.read_snapshot(spark, snapshot_path(state_path, batch_id - 1))
+        # A batch without any harvest time goes on from the newest time of the state.
+        newest = (x.selectExpr("max(harvested_at) + interval 1 second AS m").first()["m"] for x in (changed, state["entries"]))
+        moment = as_of or next((m for m in newest if m is not None), runs.NEVER_INDEXED)
         runs.write_snapshot(runs.run_incremental(state, changed, moment), snapshot_path(state_path, batch_id))
 
     writer = changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)

@@ -25,9 +25,7 @@ def changes(spark, rows):
     typed = spark.createDataFrame(rows, SCHEMAS["entries"].replace("timestamp", "string"))
     for c in ("harvested_at", "indexed_at", "relevance_calculated_at", "published_at"):
         typed = typed.withColumn(c, F.col(c).cast("timestamp"))
-    # An entry seen for the first time has never been indexed or recommended.
-    never = F.lit("1970-01-02 00:00:00").cast("timestamp")
-    return typed.withColumn("indexed_at", never).withColumn("relevance_calculated_at", F.lit("1970-01-01").cast("timestamp"))
+    return typed
 
 
 @pytest.fixture(scope="module")
@@ -62,9 +60,11 @@ def test_full_run_then_incremental_deletion(spark, start):
     assert untouched <= {r.id for r in pairs}
 
 
-def test_bootstrap_takes_the_first_entries(spark, start):
+def test_bootstrap_works_on_the_first_entries_and_keeps_the_others(spark, start):
     state = runs.run_bootstrap(start, changes(spark, [change(i, "2024-01-01 00:00:00") for i in range(9)]), FIRST, n=6)
-    assert ids(state["entries"]) == list(range(6))
+    assert ids(state["entries"]) == list(range(9)) and ids(state["corpus"]) == list(range(6))
+    after = runs.run_incremental(state, changes(spark, []), SECOND)
+    assert ids(after["corpus"]) == list(range(9))
     assert {r.level for r in state["tag_clouds"].select("level").distinct().collect()} == {1}
 
 
@@ -91,3 +91,28 @@ def test_stream_gives_the_state_of_the_batch_run(spark, start, tmp_path):
     assert sorted(map(tuple, got["recommendations"].select(*key).collect())) == sorted(
         map(tuple, expected["recommendations"].select(*key).collect())
     )
+
+
+def test_harvest_keeps_entries_without_times_and_decides_ties(spark, start):
+    none, tie = change(1, None), change(2, "2024-01-03 00:00:00")
+    rows = [none, tie, tie[:5] + ("Another title",) + tie[6:], change(3, None), change(3, "2024-01-02 00:00:00", extra="newer")]
+    results = []
+    for order in (rows, rows[::-1]):
+        merged = runs.harvest(start["entries"], changes(spark, order))
+        results.append(sorted(map(tuple, merged.collect())))
+    assert results[0] == results[1] and [r[0] for r in results[0]] == [1, 2, 3]
+    assert results[0][1][5] == max(tie[5], "Another title") and results[0][2][6].endswith("newer")
+    state = runs.run_incremental(start, changes(spark, rows), FIRST)
+    assert ids(state["corpus"]) == [1, 2, 3]
+    assert state["entries"].filter("indexed_at = timestamp '2024-01-10'").count() == 3
+
+
+def test_stream_of_changes_without_times(spark, start, tmp_path):
+    snapshots, source = str(tmp_path / "state"), str(tmp_path / "in")
+    runs.write_snapshot(start, snapshot_path(snapshots, -1))
+    batch = changes(spark, [change(i, None) for i in range(3)])
+    batch.coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema(batch.schema).parquet(source)
+    stream_entries(stream, snapshots, str(tmp_path / "cp"), interval=None).awaitTermination()
+    got = runs.read_snapshot(spark, snapshot_path(snapshots, 0))
+    assert ids(got["corpus"]) == [0, 1, 2] and got["entries"].filter("indexed_at IS NULL").count() == 0
