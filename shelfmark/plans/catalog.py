@@ -952,7 +952,7 @@ FROM cloud{level}"""
 
 
 def _levels(t):
-    level1 = tagcloud.tag_cloud_level1(*_items(t))
+    level1 = cut(tagcloud.tag_cloud_level1(*_items(t)))
     level2 = tagcloud.tag_cloud_level2(level1, *_items(t))
     return level1, level2
 

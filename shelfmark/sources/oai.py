@@ -1,9 +1,11 @@
-"""Reader for harvested OAI-PMH ``ListRecords`` responses."""
+"""Reader for harvested OAI-PMH ``ListRecords`` responses, and records as changes of entries."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from shelfmark.functions.skew import number_rows
+
 RECORD = (
     "header struct<_status:string, identifier:string, datestamp:date, setSpec:array<string>>, "
     "metadata struct<dc:struct<identifier:array<string>, title:string, description:string, date:string, "
@@ -46,3 +48,39 @@ def read_oai_records(spark: SparkSession, path: str) -> DataFrame:
 def record_facets(records: DataFrame) -> DataFrame:
     """(identifier, facet, value) rows of all records."""
     return records.select("identifier", F.explode("facets").alias("f")).select("identifier", "f.facet", "f.value")
+
+
+def entries_from_records(
+    records: DataFrame, entries: DataFrame, feed_id: int, language_facet: str = "language", grain_facet: str = "grain_size"
+) -> DataFrame:
+    """Records of one feed as changes of ``entries``, for ``plans.runs.harvest``.
+
+    A record whose identifier an entry has keeps the id of that entry; unknown ones
+    are numbered after the largest id, so a tombstone finds the entry it deletes.
+    Tombstones of unknown records are left out.  Language and grain size come from
+    the metadata, else from the facets.
+    """
+    facet = lambda name: F.get(F.transform(
+        F.filter("facets", lambda f: f["facet"] == name), lambda f: f["value"]), F.lit(0))
+    known = entries.filter("oai_identifier <> 'deleted'").groupBy(F.col("oai_identifier").alias("identifier")).agg(
+        F.min("id").alias("_known"))
+    largest = entries.agg(F.coalesce(F.max("id"), F.lit(0)).alias("m")).first()["m"]
+    placed = records.join(known, "identifier", "left")
+    unknown = placed.filter("_known IS NULL AND oai_identifier <> 'deleted'").select("identifier").distinct()
+    numbered = number_rows(unknown, ["identifier"], "_new")
+    live = F.col("oai_identifier") != "deleted"
+    return (
+        placed.join(numbered, "identifier", "left")
+        .withColumn("id", F.coalesce("_known", F.col("_new") + F.lit(largest)).cast("bigint"))
+        .filter("id IS NOT NULL")
+        .select(
+            "id", F.lit(feed_id).cast("bigint").alias("feed_id"),
+            F.lower(F.substring(F.coalesce("language", facet(language_facet)), 1, 2)).alias("lang"),
+            "permalink", F.lit(None).cast("string").alias("direct_link"), "title", "description",
+            F.coalesce(facet(grain_facet), F.lit("resource")).alias("grain_size"),
+            (live & F.col("permalink").isNotNull()).alias("permalink_good"), "oai_identifier",
+            F.col("datestamp").cast("timestamp").alias("harvested_at"),
+            F.lit(None).cast("timestamp").alias("indexed_at"), F.lit(None).cast("timestamp").alias("relevance_calculated_at"),
+            F.try_to_timestamp("date").alias("published_at"),
+        )
+    )
