@@ -267,6 +267,15 @@ WHERE round(llr, 9) >= 50""",
 SELECT x.id, x.gram AS term, count(*) AS tf
 FROM (SELECT id, gram FROM words UNION ALL SELECT id, concat(head, ' ', tail) FROM neighbours) x
 WHERE x.gram IN (SELECT gram FROM grams) GROUP BY x.id, x.gram""",
+    "vecs": """
+SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM (
+  SELECT g.id, g.term, sqrt(g.tf) * (ln(n.n / (v.df + 1)) + 1) AS w
+  FROM doc_grams g JOIN (SELECT term, count(*) AS df FROM doc_grams GROUP BY term) v ON v.term = g.term
+  CROSS JOIN (SELECT count(*) AS n FROM cleaned) n
+  WHERE v.df >= 5 AND v.df * 100 <= n.n * 80) x""",
+    "attended": """
+SELECT DISTINCT a.attentionable_id AS user_id, a.entry_id AS id
+FROM attentions a JOIN entries e ON e.id = a.entry_id WHERE a.attentionable_type = 'User'""",
 }
 
 _CTE_DEPENDS = {
@@ -275,7 +284,7 @@ _CTE_DEPENDS = {
     "likeness": ("cells",), "cf": ("likeness",), "scf": ("cf",), "diffusion": ("edges",),
     "cloud1": ("grains",), "cloud2": ("cloud1",), "tag_pairs": ("cloud2",), "cloud3": ("tag_pairs",),
     "words": ("cleaned",), "neighbours": ("cleaned",), "pair_counts": ("neighbours",),
-    "pair_tables": ("pair_counts",), "grams": ("words", "pair_tables"), "doc_grams": ("grams", "neighbours"),
+    "pair_tables": ("pair_counts",), "grams": ("words", "pair_tables"), "doc_grams": ("grams", "neighbours"), "vecs": ("doc_grams", "cleaned"),
 }
 _CTE_VIEWS = {
     "corpus": "entries feeds", "fields": "entries_subjects subjects aggregation_feeds", "hits": "aggregation_feeds",
@@ -283,7 +292,7 @@ _CTE_VIEWS = {
     "scf": "recommendations", "edges": "ratings", "decayed": "attentions attention_types recommendations entries",
     "due_daily": "personal_recommendations users attentions", "due_weekly": "personal_recommendations users attentions",
     "grains": "item_entries", "cloud1": "entries_subjects subjects", "cloud2": "entries_subjects subjects",
-    "cloud3": "entries_subjects subjects", "popular_subjects": "taggings subjects", "cleaned": "entries",
+    "cloud3": "entries_subjects subjects", "popular_subjects": "taggings subjects", "cleaned": "entries", "attended": "attentions entries",
 }
 
 
@@ -1028,21 +1037,110 @@ def manhattan_stats(t):
     return _rounded(clustering.distance_stats(pairs), "min_distance", "max_distance", "avg_distance")
 
 
-@query()
+def _attended(t):
+    return collaborative.attended_pairs(t("attentions")).join(
+        t("entries").select(F.col("id").alias("entry_id")), "entry_id", "left_semi").withColumnRenamed("entry_id", "id")
+
+
+# With the fixed thresholds a canopy holds all points of its user; with these it holds some.
+WIDE = (28.0, 26.0)
+# Rounds the checking SQL walks; a user with more founders than that would make it differ.
+_WALK = 32
+
+
+def _canopy_sql(t1: float, t2: float) -> str:
+    """Founders by unrolled rounds of the walk, then the canopies and their means."""
+    rounds = "".join(f"""
+walk{k} AS MATERIALIZED (SELECT user_id, min(id) AS c FROM open{k - 1} GROUP BY user_id),
+open{k} AS MATERIALIZED (SELECT o.user_id, o.id FROM open{k - 1} o JOIN walk{k} f ON f.user_id = o.user_id
+  JOIN far d ON d.user_id = o.user_id AND d.a = f.c AND d.b = o.id WHERE d.d >= {t2} AND o.id <> f.c),""" for k in range(1, _WALK + 1))
+    founders = " UNION ALL ".join(f"SELECT user_id, c FROM walk{k}" for k in range(1, _WALK + 1))
+    return f"""own AS MATERIALIZED (SELECT u.user_id, v.id, v.term, v.weight FROM attended u JOIN vecs v ON v.id = u.id),
+lengths AS MATERIALIZED (SELECT user_id, id, sum(abs(weight)) AS l1, sum(weight * weight) AS l2 FROM own GROUP BY user_id, id),
+far AS MATERIALIZED (SELECT a.user_id, a.id AS a, b.id AS b, round(a.l1 + b.l1 - coalesce(s.common, 0), 9) AS d
+  FROM lengths a JOIN lengths b ON b.user_id = a.user_id
+  LEFT JOIN (SELECT x.user_id, x.id AS a, y.id AS b, sum(abs(x.weight) + abs(y.weight) - abs(x.weight - y.weight)) AS common
+             FROM own x JOIN own y ON y.user_id = x.user_id AND y.term = x.term GROUP BY x.user_id, x.id, y.id) s
+    ON s.user_id = a.user_id AND s.a = a.id AND s.b = b.id),
+open0 AS MATERIALIZED (SELECT user_id, id FROM lengths),{rounds}
+inside AS MATERIALIZED (SELECT f.user_id, f.c, d.b AS id FROM ({founders}) f JOIN far d ON d.user_id = f.user_id AND d.a = f.c WHERE d.d < {t1}),
+centre0 AS MATERIALIZED (SELECT i.user_id, i.c, o.term, sum(o.weight) / n.n AS w
+  FROM inside i JOIN own o ON o.user_id = i.user_id AND o.id = i.id
+  JOIN (SELECT user_id, c, count(*) AS n FROM inside GROUP BY user_id, c) n ON n.user_id = i.user_id AND n.c = i.c
+  GROUP BY i.user_id, i.c, o.term, n.n)"""
+
+
+def _nearest_sql(centre: str, only: str) -> str:
+    return f"""(SELECT l.user_id, l.id, coalesce(b.c, f.c) AS c, coalesce(b.d, 1.0) AS d
+  FROM lengths l JOIN (SELECT user_id, min(c) AS c FROM {centre} GROUP BY user_id) f ON f.user_id = l.user_id
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY user_id, id ORDER BY d, c) AS r FROM (
+      SELECT x.user_id, x.id, x.c, round(1.0 - x.dot / (p.l2 + q.l2 - x.dot), 9) AS d
+      FROM (SELECT o.user_id, o.id, k.c, sum(o.weight * k.w) AS dot FROM own o JOIN {centre} k ON k.user_id = o.user_id AND k.term = o.term
+            GROUP BY o.user_id, o.id, k.c) x
+      JOIN lengths p ON p.user_id = x.user_id AND p.id = x.id
+      JOIN (SELECT user_id, c, sum(w * w) AS l2 FROM {centre} GROUP BY user_id, c) q ON q.user_id = x.user_id AND q.c = x.c) z) b
+    ON b.user_id = l.user_id AND b.id = l.id AND b.r = 1
+  WHERE {only})"""
+
+
+def _kmeans_sql() -> str:
+    """Ten unrolled rounds in which finished users keep their centres, then the last assignment."""
+    rounds = "".join(f"""
+near{k} AS MATERIALIZED {_nearest_sql(f"centre{k - 1}", f"l.user_id IN (SELECT user_id FROM busy{k - 1})")},
+mean{k} AS MATERIALIZED (SELECT n.user_id, n.c, o.term, sum(o.weight) / m.n AS w FROM near{k} n
+  JOIN own o ON o.user_id = n.user_id AND o.id = n.id
+  JOIN (SELECT user_id, c, count(*) AS n FROM near{k} GROUP BY user_id, c) m ON m.user_id = n.user_id AND m.c = n.c
+  GROUP BY n.user_id, n.c, o.term, m.n),
+centre{k} AS MATERIALIZED (SELECT * FROM mean{k} UNION ALL
+  SELECT * FROM centre{k - 1} z WHERE NOT EXISTS (SELECT 1 FROM near{k} n WHERE n.user_id = z.user_id AND n.c = z.c)),
+busy{k} AS MATERIALIZED (SELECT a.user_id FROM (SELECT user_id, c, sum(w * w) AS l2 FROM centre{k} GROUP BY user_id, c) a
+  JOIN (SELECT user_id, c, sum(w * w) AS l2 FROM centre{k - 1} GROUP BY user_id, c) b ON b.user_id = a.user_id AND b.c = a.c
+  LEFT JOIN (SELECT x.user_id, x.c, sum(x.w * y.w) AS dot FROM centre{k} x JOIN centre{k - 1} y
+             ON y.user_id = x.user_id AND y.c = x.c AND y.term = x.term GROUP BY x.user_id, x.c) s ON s.user_id = a.user_id AND s.c = a.c
+  WHERE a.user_id IN (SELECT user_id FROM busy{k - 1})
+  GROUP BY a.user_id HAVING round(max(1.0 - coalesce(s.dot, 0) / (a.l2 + b.l2 - coalesce(s.dot, 0))), 9) > 0.01),""" for k in range(1, 11))
+    return f"""busy0 AS MATERIALIZED (SELECT DISTINCT user_id FROM centre0),{rounds}
+placed AS MATERIALIZED (SELECT a.user_id, a.id, n.c AS cluster, n.d AS distance
+  FROM attended a LEFT JOIN {_nearest_sql("centre10", "true")} n ON n.user_id = a.user_id AND n.id = a.id)"""
+
+
+_CLUSTER_CTES = {"views": "entries attentions", "ctes": ("vecs", "attended")}
+_CENTRES = """SELECT user_id, c AS c_id, count(*) AS n_terms, round(sum(w), 6) AS mass, round(sum(w * w), 6) AS square
+FROM centre0 GROUP BY user_id, c"""
+_PLACES = "SELECT user_id, id, cluster, round(distance, 6) AS distance FROM placed"
+
+
+def _own_vectors(t):
+    return cut(clustering.attended_vectors(_attended(t), cut(_vectors(t))))
+
+
+def _clusters(t, *thresholds):
+    return clustering.cluster_documents(_attended(t), cut(_vectors(t)), *thresholds)
+
+
+def _centre_sums(t, *thresholds):
+    """Size and sums of every centre; the centres themselves have a row per term."""
+    sums = clustering.canopy_centers(_own_vectors(t), *thresholds).groupBy("user_id", "c_id").agg(
+        F.count(F.lit(1)).alias("n_terms"), F.sum("weight").alias("mass"), F.sum(F.pow("weight", F.lit(2))).alias("square"))
+    return _rounded(sums, "mass", "square")
+
+
+@query(f"WITH {_canopy_sql(clustering.T1, clustering.T2)} {_CENTRES}", **_CLUSTER_CTES)
 def canopy_centers(t):
-    return _rounded(clustering.canopy_centers(cut(_vectors(t))), "weight")
+    return _centre_sums(t)
 
 
-def _clusters(t):
-    vectors = cut(_vectors(t))
-    return clustering.kmeans_tanimoto(vectors, clustering.canopy_centers(vectors))
+@query(f"WITH {_canopy_sql(*WIDE)} {_CENTRES}", **_CLUSTER_CTES)
+def canopy_centers_wide(t):
+    return _centre_sums(t, *WIDE)
 
 
-@query()
+@query(f"WITH {_canopy_sql(clustering.T1, clustering.T2)}, {_kmeans_sql()} {_PLACES}", **_CLUSTER_CTES)
 def kmeans_clusters(t):
     return _rounded(_clusters(t), "distance")
 
 
-@query()
+@query(f"WITH {_canopy_sql(*WIDE)}, {_kmeans_sql()} "
+       "SELECT p.user_id, p.cluster, p.id, e.title FROM placed p JOIN entries e ON e.id = p.id", **_CLUSTER_CTES)
 def cluster_listing(t):
-    return clustering.cluster_listing(_clusters(t), t("entries"))
+    return clustering.cluster_listing(_clusters(t, *WIDE), t("entries"))
