@@ -18,17 +18,6 @@ BROADCAST_ROWS = 200_000
 ID_BUCKETS = 4096
 
 
-def join_checked(big: DataFrame, small: DataFrame, on: Sequence[str], how: str = "inner",
-                 max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join a side that is expected to be small: broadcast after counting it, else a shuffled join.
-
-    Runs one job that counts at most ``max_rows + 1`` rows of ``small``.
-    """
-    if small.limit(max_rows + 1).count() <= max_rows:
-        small = F.broadcast(small)
-    return big.join(small, list(on), how)
-
-
 def expanding_join(
     left: DataFrame,
     right: DataFrame,

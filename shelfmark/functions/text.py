@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Classic English stop-word list of the full-text engine.
@@ -12,6 +14,8 @@ ENGLISH_STOP_WORDS = (
 )
 # Languages written without spaces, where a one-letter term counts.
 SHORT_WORD_LANGUAGES = ("ja", "zh")
+# The scripts of those languages, as parts of a character class.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
 # Shortest term used in a similarity query.
 MIN_WORD_LENGTH = 4
 # Separators that split one subject into several.
@@ -23,6 +27,26 @@ def tokenize(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
 
 
+def tokenize_pairs(text: Column) -> Column:
+    """Overlapping pairs of characters of what is written without spaces, other runs of letters and digits as they are."""
+    runs = F.regexp_extract_all(F.lower(text), F.lit(rf"[{UNSPACED}]+|[\p{{L}}\p{{N}}&&[^{UNSPACED}]]+"), F.lit(0))
+    pairs = lambda r: F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substring(r, i, F.lit(2)))
+    return F.flatten(F.transform(
+        runs, lambda r: F.when((F.length(r) > 1) & r.rlike(f"^[{UNSPACED}]"), pairs(r)).otherwise(F.array(r))))
+
+
+#: Tokenizers of single languages; all others are split by ``tokenize``.
+TOKENIZERS: dict[str, Callable[[Column], Column]] = dict.fromkeys(SHORT_WORD_LANGUAGES, tokenize_pairs)
+
+
+def tokenize_as(text: Column, lang: Column, tokenizers: dict[str, Callable[[Column], Column]] | None = None) -> Column:
+    """Terms of a text by the tokenizer of its language."""
+    terms = tokenize(text)
+    for name, tokenizer in (TOKENIZERS if tokenizers is None else tokenizers).items():
+        terms = F.when(lang == name, tokenizer(text)).otherwise(terms)
+    return terms
+
+
 def clean_tokens(text: Column) -> Column:
     """English tokens of three or more plain letters that are no stop words."""
     return F.filter(

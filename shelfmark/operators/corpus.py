@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from shelfmark.functions.text import tokenize
+from shelfmark.functions.text import tokenize_as
 
 # Languages that have an analyzer.
 ANALYZER_LANGUAGES = ("de", "en", "es", "fr", "ja", "nl", "ru", "zh")
@@ -108,13 +108,14 @@ def members_of(corpus: DataFrame, feed_aggs: DataFrame, aggregation_id: int) ->
 def weighted_terms(
     fields: DataFrame,
     weights: dict[str, int] | None = None,
-    tokenizer: Callable[[Column], Column] = tokenize,
+    tokenizers: dict[str, Callable[[Column], Column]] | None = None,
 ) -> DataFrame:
     """Weighted term frequency (id, lang, term, tf) over the weighted fields.
 
     The texts of an entry are brought together before they are split into terms.
     That moves less than moving the terms, and all later work per entry (counts,
-    lengths, ranks) finds its rows in place.
+    lengths, ranks) finds its rows in place.  ``tokenizers`` maps languages to
+    functions from a text to its terms.
     """
     weights = TEXT_WEIGHTS if weights is None else weights
     weight = F.lit(None).cast("int")
@@ -123,15 +124,15 @@ def weighted_terms(
     return (
         fields.filter(F.col("field").isin(*weights))
         .repartition("id")
-        .select("id", "lang", weight.alias("w"), F.explode(tokenizer(F.col("value"))).alias("term"))
+        .select("id", "lang", weight.alias("w"), F.explode(tokenize_as(F.col("value"), F.col("lang"), tokenizers)).alias("term"))
         .groupBy("id", "lang", "term")
         .agg(F.sum("w").cast("bigint").alias("tf"))
     )
 
 
-def tag_terms(fields: DataFrame, tokenizer: Callable[[Column], Column] = tokenize) -> DataFrame:
+def tag_terms(fields: DataFrame, tokenizers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
     """Unstemmed term frequency of title and description, the source of generated subjects."""
-    return weighted_terms(fields, TAG_WEIGHTS, tokenizer)
+    return weighted_terms(fields, TAG_WEIGHTS, tokenizers)
 
 
 def stem_vocabulary(terms: DataFrame, stem_map: DataFrame, protected: DataFrame) -> DataFrame:

@@ -88,7 +88,11 @@ def recommend(state: Catalogue, as_of, all: bool = False, per_domain: int = simi
     work = cut(worksets.entries_to_recommend(entries, all))
     aggs = corpus.feed_aggregations(state["feeds"], state["aggregation_feeds"])
     fields = corpus.corpus_fields(docs, state["subjects"], state["entries_subjects"])
-    terms = cut(corpus.weighted_terms(fields))
+    terms = corpus.weighted_terms(fields)
+    if "stems" in state:  # (term, stem) and the words that stay as they are
+        protected = state["protected_words"] if "protected_words" in state else state["stems"].select("term").limit(0)
+        terms = corpus.stem_vocabulary(terms, state["stems"], protected)
+    terms = cut(terms)
     lengths = cut(similar.document_lengths(terms))
     postings = cut(similar.index_postings(terms, lengths))
     queries = similar.query_terms(postings.join(work, "id", "left_semi"))
