@@ -13,6 +13,8 @@ from shelfmark.llm.rows import ship_package
 from shelfmark.session import apply_settings
 
 TOKENIZER = "word_bpe_49k.json"
+#: Bytes of text in a block of the encoder: this stage runs in executors that the stages before it have filled.
+BLOCK_BYTES = 6_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids and the text they decode to."""
     ship_package(spark)
-    return word_bpe.encode(docs, public_tokenizers.path(TOKENIZER))
+    return word_bpe.encode(docs, public_tokenizers.path(TOKENIZER), block_bytes=BLOCK_BYTES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
