@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from shelfmark.functions.lineage import cut
+from shelfmark.llm.exact import sha256
 from shelfmark.llm.rows import id_key, keep_rows, whole_text
 
 WORDS = 4
@@ -58,16 +59,18 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id and ``bits``, the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text", digest: bool = False) -> DataFrame:
+    """doc_id and ``bits``, the fingerprint as a signed long; with ``digest`` also text_sha256, of the whole text."""
+    more = {"text_sha256": sha256(whole_text(text))} if digest else {}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             bits = np.fromiter(map(fingerprint, batch["text"]), np.uint64, len(batch))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "bits": bits.view(np.int64)})
+            yield batch.drop(columns="text").assign(bits=bits.view(np.int64))
 
-    return docs.select(F.col(id_column).cast("bigint").alias("doc_id"), whole_text(text).alias("text")).mapInPandas(
-        run, "doc_id bigint, bits bigint")
+    return docs.select(
+        F.col(id_column).cast("bigint").alias("doc_id"), whole_text(text).alias("text"), *[c.alias(n) for n, c in more.items()],
+    ).mapInPandas(run, ", ".join(["doc_id bigint", *[f"{n} string" for n in more], "bits bigint"]))
 
 
 def _forest(left: np.ndarray, right: np.ndarray, same: bool, radius: int) -> tuple[list[int], list[int]]:
@@ -196,23 +199,34 @@ def components(edges: DataFrame) -> DataFrame:
         now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _rooted(nodes: DataFrame, radius: int, tile_rows: int) -> DataFrame:
+    """``nodes`` with ``root``, the smallest fingerprint that links reach."""
+    roots = components(links(nodes, radius, tile_rows)).withColumnRenamed("node", "bits")
+    return nodes.join(roots, "bits", "left").withColumn("root", F.coalesce("root", "bits"))
+
+
 def near_duplicates(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS, tile_rows: int = TILE_ROWS
 ) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (smallest id that links reach) per row."""
     marked = cut(fingerprints(docs, id_column, text))
     nodes = cut(marked.groupBy("bits").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(nodes, radius, tile_rows)).withColumnRenamed("node", "bits")
-    rooted = cut(nodes.join(roots, "bits", "left").select("bits", "first_id", F.coalesce("root", "bits").alias("root")))
+    rooted = cut(_rooted(nodes, radius, tile_rows))
     named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root")
     return marked.join(named.select("bits", "component_id"), "bits").select(
         "doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of every component, the one with the smallest id, with the columns of ``docs``."""
-    kept = (
-        near_duplicates(docs, id_column, text).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-        .select(id_key("doc_id").alias("id")).distinct()
-    )
-    return keep_rows(docs, kept, {"id": id_key(id_column)})
+def drop_near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS, tile_rows: int = TILE_ROWS
+) -> DataFrame:
+    """One document of every component, with the columns of ``docs``.
+
+    The one with the smallest id stays, a null id only where the whole component
+    has none; of equal ids the one with the smallest digest of the text.
+    """
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_sha256")
+    nodes = cut(fingerprints(docs, id_column, text, digest=True).groupBy("bits").agg(F.min(order).alias("best")))
+    kept = _rooted(nodes, radius, tile_rows).groupBy("root").agg(F.min("best").alias("best")).select(
+        id_key("best.doc_id").alias("id"), "best.text_sha256")
+    return keep_rows(docs, kept, {"id": id_key(id_column), "text_sha256": sha256(whole_text(text))})

@@ -97,3 +97,19 @@ def test_empty_tables(spark):
 def test_near_dedup_keeps_smallest_id(spark):
     docs = spark.createDataFrame([(3, BASE), (2, BASE), (2, BASE), (9, "something else entirely is here")], "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()) == [2, 9]
+
+
+def test_near_dedup_keeps_one_row_of_every_component(spark):
+    rows = [(None, "alpha beta gamma delta"), (None, "one two three four five"), (None, BASE), (None, None),
+            (5, "red green blue white black"), (5, "north south east west up down"), (7, BASE), (7, BASE.upper()),
+            (None, "one  two three four five"), (8, "red green blue white black")]
+    docs = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id bigint, text string, n int")
+    prints = [brute_fingerprint(t) for _, t in rows]
+    names = brute_components(list(enumerate(prints)))  # by position, so that every component has its name
+    want = {}
+    for n, (i, t) in enumerate(rows):
+        key = (i is None, i or 0, hashlib.sha256((t or "").encode()).hexdigest())
+        want[names[n]] = min(want.get(names[n], (key, n)), (key, n))
+    got = sorted(r["n"] for r in simhash.drop_near_duplicates(docs).collect())
+    assert got == sorted(n for _, n in want.values())
+    assert {0, 3, 4, 5} <= set(got) and len(got) == 6
