@@ -9,7 +9,8 @@ penalised; a group that often occurs in toxic sentences therefore does not make
 a neutral mention of it toxic.
 
 The model is fitted on a bounded sample of labelled rows (``max_docs``, picked by
-hash); it then scores every whole text where the text lies, without a shuffle.
+hash); every feature of the sample that passes the share test is in the model.
+It then scores every whole text where the text lies, without a shuffle.
 
 Defined results: a null text counts as empty and scores the bias alone; rows with
 a null label or id are not learnt from; several labels of one id count as the
@@ -34,9 +35,6 @@ from shelfmark.llm.rows import whole_text
 
 #: Labelled documents the model is fitted on.
 MAX_DOCS = 20_000
-#: Features a model may hold, and features that are looked at for it.
-MAX_FEATURES = 4_096
-MAX_CANDIDATES = 60_000
 #: A feature must occur in this many toxic documents, and the lower bound of its share of toxic ones reach this.
 MIN_TOXIC = 3
 MIN_SHARE = 0.25
@@ -118,41 +116,39 @@ def _swapped(sentence: str, terms: tuple[str, ...]) -> str:
     return _WORD.sub(other, sentence)
 
 
-def _toxic_candidates(sample: DataFrame) -> list[str]:
-    """Features of at least MIN_TOXIC toxic documents of the sample."""
+def _telling_features(sample: DataFrame) -> list[str]:
+    """All features that occur in MIN_TOXIC toxic documents and whose share of toxic ones is surely MIN_SHARE."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen: Counter[str] = Counter()
-            for text in batch["text"]:
-                seen.update(_features(text))
-            yield pd.DataFrame({"feature": list(seen.keys()), "n": list(seen.values())})
-
-    counted = (
-        sample.filter("toxic = 1").select("text").mapInPandas(count, "feature string, n bigint")
-        .groupBy("feature").agg(F.sum("n").alias("n")).filter(F.col("n") >= MIN_TOXIC)
-    )
-    return [r["feature"] for r in counted.orderBy(F.desc("n"), "feature").limit(MAX_CANDIDATES).collect()]
-
+        seen: Counter[str] = Counter()
+        toxic: Counter[str] = Counter()
 
-def _counts(sample: DataFrame, index: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """In how many sampled documents, and in how many toxic ones, each feature occurs."""
+        def counted() -> pd.DataFrame:
+            found = pd.DataFrame({"feature": list(seen), "seen": list(seen.values()), "toxic": [toxic[f] for f in seen]})
+            seen.clear()
+            toxic.clear()
+            return found
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums = np.zeros((2, len(index)), np.int64)
         for batch in batches:
-            for toxic, text in zip(batch["toxic"], batch["text"]):
-                has = [index[f] for f in _features(text) if f in index]
-                sums[0, has] += 1
-                sums[1, has] += int(toxic > 0)
-        seen = np.nonzero(sums[0])[0]
-        yield pd.DataFrame({"feature": seen, "seen": sums[0, seen], "toxic": sums[1, seen]})
-
-    counted = sample.select("toxic", "text").mapInPandas(count, "feature int, seen bigint, toxic bigint")
-    found = counted.groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic")).toPandas()
-    out = np.zeros((2, len(index)))
-    out[:, found["feature"]] = found[["seen", "toxic"]].to_numpy(float).T
-    return out[0], out[1]
+            for label, text in zip(batch["toxic"], batch["text"]):
+                features = _features(text)
+                seen.update(features)
+                if label > 0:
+                    toxic.update(features)
+                if len(seen) > _REMEMBERED:
+                    yield counted()
+        if seen:
+            yield counted()
+
+    counts = (
+        sample.select("toxic", "text").mapInPandas(count, "feature string, seen bigint, toxic bigint")
+        .groupBy("feature").agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic")).filter(F.col("toxic") >= MIN_TOXIC)
+    )
+    z2, share = CONFIDENCE**2, F.col("toxic") / F.col("seen")
+    spread = CONFIDENCE * F.sqrt(share * (1 - share) * F.col("seen") + z2 / 4)
+    lowest = (F.col("toxic") + z2 / 2 - spread) / (F.col("seen") + z2)
+    telling = counts.select("feature", lowest.alias("lowest")).filter(F.col("lowest") >= MIN_SHARE).collect()
+    return [r["feature"] for r in sorted(telling, key=lambda r: (-r["lowest"], r["feature"]))]
 
 
 def _vectors(sample: DataFrame, index: dict[str, int], terms: tuple[str, ...]) -> pd.DataFrame:
@@ -241,12 +237,7 @@ def fit(
         docs.select(F.col(id_column).cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
         .join(F.broadcast(chosen), "doc_id")
     )
-    names = list(dict.fromkeys([*terms, *_toxic_candidates(sample)]))
-    seen, toxic = _counts(sample, {f: i for i, f in enumerate(names)})
-    share, z2, n = toxic / np.maximum(seen, 1), CONFIDENCE**2, np.maximum(seen, 1)
-    lowest = (toxic + z2 / 2 - CONFIDENCE * np.sqrt(share * (1 - share) * n + z2 / 4)) / (n + z2)
-    wanted = np.nonzero((toxic >= MIN_TOXIC) & (lowest >= MIN_SHARE) | (np.arange(len(names)) < len(terms)))[0]
-    names = [names[i] for i in wanted[np.argsort(-lowest[wanted], kind="stable")][:MAX_FEATURES]]
+    names = list(dict.fromkeys([*_telling_features(sample), *terms]))
     data = _vectors(sample, {f: i for i, f in enumerate(names)}, terms)
     y = data["toxic"].to_numpy(float)
     if not len(y) or not y.any():

@@ -1,6 +1,7 @@
 """Mixing, BPE and the classifier: brute force, round trips against the library, held-out accuracy."""
 
 import hashlib
+import zlib
 
 import pandas as pd
 import public_tokenizers
@@ -162,3 +163,15 @@ def test_toxicity_without_labels(spark):
     model = toxicity.fit(docs, labels.limit(0))
     assert {round(r["score"], 2) for r in toxicity.score(docs, model).collect()} == {0.05}
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("in_clean", [True, False], ids=["frequent", "telling"])
+def test_rare_insult_is_learnt_among_many_features(spark, in_clean):
+    """More features than 60,000 occur in more toxic documents than the insult, or have a higher share."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    shared = " ".join("".join(letters[n // 26**k % 26] for k in range(4)) + "qqq" for n in range(20_000))
+    ids = [i for i in range(120) if zlib.crc32(str(i).encode()) % 4 != toxicity.HELD_OUT][:60]
+    rows = [(i, shared + " vexing" * (n < 3) if n < 4 else shared if in_clean else "kind words") for n, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, int(n < 4)) for n, i in enumerate(ids)], "doc_id bigint, toxic int")
+    assert toxicity.fit(docs, labels).weights.get("vexing", 0) > 0
