@@ -16,6 +16,7 @@ knows kinds that a crawl happens to lack, and pages that do not mark their artic
 
 Defined results: a null or empty html has the empty text; scripts, styles,
 comments of the markup and other elements without visible text give no blocks;
+formulas are text of the line they stand in, without their annotations;
 character references are decoded; repeated rows give repeated results; an empty
 table gives no rows; other columns are ignored.
 """
@@ -47,12 +48,16 @@ RATE = 0.02
 SEED = 11
 
 # Fixed values of the markup language.
-SILENT = frozenset("script style noscript template title textarea select iframe object svg math canvas audio video".split())
+SILENT = frozenset("script style noscript template title textarea select iframe object svg canvas audio video "
+                   "annotation annotation-xml".split())
 EVERYWHERE = frozenset(("html", "head", "body"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub "
-    "sup time tt u var wbr label img".split())
+    "sup time tt u var wbr label img "
+    # formulas
+    "math semantics mrow mi mo mn ms mtext mspace msub msup msubsup munder mover munderover mmultiscripts mprescripts none mfrac "
+    "msqrt mroot mstyle merror mpadded mphantom mfenced menclose maction mtable mtr mlabeledtr mtd".split())
 CLOSES_P = frozenset(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table "
     "ul figure figcaption details".split())
@@ -139,6 +144,8 @@ def blocks_of(page: str) -> list[Block]:
                     depth = len(opened) - 1 - opened[::-1].index(name)
                     if not {"ul", "ol", "table", "dl"} & set(opened[depth:]):
                         close(depth)
+            elif name in ("mtr", "mtd"):  # cells of a matrix
+                text.append(" ")
             if not empty:
                 stack.append((name, _steps(name, token[3])))
     text.append(page[at:])

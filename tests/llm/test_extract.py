@@ -34,6 +34,14 @@ def test_blocks():
     assert got == ["ab c d", "e", "f <g> é!", "tail!", "x", "y", "two words", "unclosed x"]
 
 
+def test_formulas_are_text_without_annotations():
+    got = [b.text for b in extract.blocks_of(
+        "<p>so <math><semantics><mrow><mi>E</mi><mo>=</mo><mi>m</mi><msup><mi>c</mi><mn>2</mn></msup></mrow>"
+        "<annotation encoding='application/x-tex'>E=mc^2</annotation><annotation-xml><ci>no</ci></annotation-xml></semantics></math> holds"
+        "<p><math display='block'><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>0</mn></mtd></mtr></mtable></math></p>")]
+    assert got == ["so E=mc2 holds", "1 0"]
+
+
 def test_gradients_are_those_of_the_loss():
     rng = np.random.default_rng(0)
     model = extract.Labeller.fresh(rng)
