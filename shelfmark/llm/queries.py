@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import backoff, exact, extract, mixing, permutation, simhash, toolcalls, toxicity, warc, word_bpe
+from shelfmark.llm import backoff, exact, extract, mixing, permutation, simhash, token_files, toolcalls, toxicity, warc, word_bpe
 from shelfmark.llm.rows import ship_package
 from shelfmark.session import apply_settings
 
@@ -274,3 +274,15 @@ FROM bits
 """)
 def op10_warc(t) -> DataFrame:
     return warc.round_trip(t("pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+#: The id that ends a document in the token files.
+END_ID = 2
+
+
+@query()
+def op11_token_files(t) -> DataFrame:
+    import public_tokenizers
+
+    return token_files.round_trip(t("documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID).select(
+        "doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
