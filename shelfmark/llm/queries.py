@@ -11,7 +11,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from shelfmark.llm import backoff, exact, extract, mixing, permutation, simhash, token_files, toolcalls, toxicity, warc, word_bpe
+from shelfmark.llm import (
+    backoff, exact, extract, merkle, mixing, permutation, simhash, token_files, toolcalls, toxicity, warc, word_bpe,
+)
 from shelfmark.llm.rows import ship_package
 from shelfmark.session import apply_settings
 
@@ -286,3 +288,80 @@ def op11_token_files(t) -> DataFrame:
 
     return token_files.round_trip(t("documents"), public_tokenizers.path("byte_bpe_50k.json"), END_ID).select(
         "doc_id", "start", F.col("n_ids").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_LEAF_FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
+#: Levels that the SQL spells out: 16**5 documents of a source, 16**3 sources.
+_SQL_LEVELS = {"leaf": 5, "top": 3}
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"{f}::varchar" for f in _LEAF_FIELDS[:-1]] + [text]
+    return "sha256(concat(" + ", ".join(f"CASE WHEN {f} IS NULL THEN '-' ELSE concat(strlen({f})::varchar, ':', {f}) END" for f in fields) + "))"
+
+
+def _levels_sql(name: str, levels: int) -> str:
+    """Level by level: nodes with what stands before and after them in their run, then the nodes of the next level."""
+    out = []
+    for k in range(levels):
+        run = "PARTITION BY tree, pos // 16 ORDER BY pos ROWS BETWEEN"
+        out.append(f"""
+{name}_s{k} AS (
+  SELECT *, CASE WHEN n > 1 THEN coalesce(string_agg(digest, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') ELSE '' END AS lo,
+         CASE WHEN n > 1 THEN coalesce(string_agg(digest, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') ELSE '' END AS hi
+  FROM {name}_{k}),
+{name}_{k + 1} AS (
+  SELECT tree, pos // 16 AS pos, (n + 15) // 16 AS n,
+         CASE WHEN n > 1 THEN sha256(string_agg(digest, '' ORDER BY pos)) ELSE any_value(digest) END AS digest
+  FROM {name}_{k} GROUP BY tree, pos // 16, n),""")
+    return "".join(out)
+
+
+def _fold_sql(name: str, levels: int, keys: str, kept: str) -> str:
+    """From the leaf up: the copied digest and the siblings of every level."""
+    out = []
+    for k in range(levels):
+        out.append(f"""
+{name}_f{k + 1} AS (
+  SELECT {kept}, concat(f.proof, s.lo, s.hi) AS proof, CASE WHEN s.n > 1 THEN sha256(concat(s.lo, f.digest, s.hi)) ELSE f.digest END AS digest
+  FROM {name}_f{k} f JOIN {name}_s{k} s ON s.tree = f.{keys} AND s.pos = f.pos // {16 ** k}),""")
+    return "".join(out)
+
+
+@query(f"""
+WITH bits AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda c, i: xor(c >> 1, 3988292384 * (c & 1)), n)) AS t),
+sums AS (
+  SELECT doc_id AS id, xor(list_reduce(list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint),
+                                 lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295) AS crc
+  FROM (SELECT DISTINCT doc_id FROM documents), bits),
+leaves AS (
+  SELECT d.doc_id, coalesce('s' || source, 'n') AS tree, {_leaf_sql("text")} AS leaf,
+         CASE WHEN crc % 5 = 0 THEN {_leaf_sql(f"translate(text, '{_UPPER}', '{_LOWER}')")} END AS changed
+  FROM documents d LEFT JOIN sums ON sums.id = d.doc_id),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+  FROM leaves),
+leaf_0 AS (SELECT tree, pos, n, leaf AS digest FROM placed),
+{_levels_sql("leaf", _SQL_LEVELS["leaf"])}
+subroots AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM leaf_{_SQL_LEVELS["leaf"]}),
+top_0 AS (SELECT 'all' AS tree, pos, n, digest FROM subroots),
+{_levels_sql("top", _SQL_LEVELS["top"])}
+root AS (SELECT digest AS root FROM top_{_SQL_LEVELS["top"]}),
+leaf_f0 AS (SELECT doc_id, leaf, tree, pos, '' AS proof, coalesce(changed, leaf) AS digest FROM placed),
+{_fold_sql("leaf", _SQL_LEVELS["leaf"], "tree", "f.doc_id, f.leaf, f.tree, f.pos")}
+top_f0 AS (
+  SELECT f.doc_id, f.leaf, 'all' AS tree, r.pos, r.digest AS subroot, f.proof, f.digest
+  FROM leaf_f{_SQL_LEVELS["leaf"]} f JOIN subroots r USING (tree)),
+{_fold_sql("top", _SQL_LEVELS["top"], "tree", "f.doc_id, f.leaf, f.tree, f.pos, f.subroot")}
+done AS (SELECT * FROM top_f{_SQL_LEVELS["top"]}, root)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = root AS verified FROM done
+""")
+def op12_merkle(t) -> DataFrame:
+    digest = lambda text: merkle.row_digest([*map(F.col, _LEAF_FIELDS[:-1]), text])
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    changed = F.when(tampered, digest(F.translate("text", _UPPER, _LOWER)))
+    return merkle.build(t("documents"), digest(F.col("text")), changed).proofs().select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"))
