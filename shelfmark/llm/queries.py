@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.llm import (
-    backoff, exact, extract, merkle, mixing, permutation, simhash, token_files, toolcalls, toxicity, warc, word_bpe,
+    backoff, exact, extract, merkle, mixing, permutation, simhash, token_files, toolcalls, toxicity, vector_codes, warc,
+    word_bpe,
 )
 from shelfmark.llm.rows import ship_package
 from shelfmark.session import apply_settings
@@ -365,3 +366,51 @@ def op12_merkle(t) -> DataFrame:
     return merkle.build(t("documents"), digest(F.col("text")), changed).proofs().select(
         F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root",
         (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def _rounds_sql() -> str:
+    out = []
+    for k in range(1, vector_codes.ROUNDS + 1):
+        out.append(f"""
+sums{k} AS (
+  SELECT p, best.e AS e, i, floor(sum(x[i + 1]) / count(*)) AS c
+  FROM a{k - 1} JOIN parts USING (vec_id, p), (SELECT unnest(range(w)) AS i FROM dimension) GROUP BY ALL),
+c{k} AS (
+  SELECT old.p, old.e, coalesce(new.c, old.c) AS c
+  FROM c{k - 1} old LEFT JOIN (SELECT p, e, list(c ORDER BY i) AS c FROM sums{k} GROUP BY ALL) new USING (p, e)),
+{_assign_sql(k)}""")
+    return "".join(out)
+
+
+def _assign_sql(k: int) -> str:
+    """Squared distance by inner products: whole numbers, so exact in double precision."""
+    return f"""
+a{k} AS (
+  SELECT vec_id, p, min(struct_pack(
+           d := list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c), e := e)) AS best
+  FROM parts JOIN c{k} USING (p) GROUP BY ALL),"""
+
+
+@query(f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::double * {vector_codes.SCALE})) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+dimension AS (SELECT max(len(v)) // {vector_codes.PARTS} AS w FROM kept),
+parts AS (SELECT vec_id, p, v[p * w + 1:p * w + w] AS x FROM kept, dimension, range({vector_codes.PARTS}) t(p)),
+c0 AS (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, x AS c
+  FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT {vector_codes.ENTRIES})),
+{_assign_sql(0)}
+{_rounds_sql()}
+numbers AS (SELECT p, e, unnest(c)::bigint AS x, generate_subscripts(c, 1) AS i FROM c{vector_codes.ROUNDS}),
+coded AS (
+  SELECT vec_id, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::bigint AS error
+  FROM a{vector_codes.ROUNDS} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::bigint AS label_error,
+       (SELECT sha256(string_agg(x::varchar, ',' ORDER BY p, e, i)) FROM numbers) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)
+""")
+def op13_vector_codes(t) -> DataFrame:
+    coded, books = vector_codes.compress(t("embeddings"))
+    return coded.select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256"))
