@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
+# Tables written within each open ``scratch`` block.
+_OPEN: list[list[str]] = []
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the file system that its path names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Remove the tables cut inside the block when it ends; results must have been written elsewhere by then."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove_folder(spark, path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared checkpoint folder and go on from there.
 
@@ -35,5 +58,7 @@ def cut(df: DataFrame) -> DataFrame:
     gone and the loss of an executor costs nothing that was written.
     """
     path = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -16,8 +16,9 @@ from shelfmark.operators import (
     bipartite, buckets, clustering, collaborative, corpus, personal, popularity, similar, snapshots, subjects,
     tagcloud, worksets,
 )
+from shelfmark.plans import runs
 from shelfmark.session import apply_settings
-from shelfmark.plans.views import AS_OF, GLOBAL_AGGREGATION, oracle_text, view
+from shelfmark.plans.views import AS_OF, GLOBAL_AGGREGATION, VIEWS, oracle_text, view
 
 Tables = Callable[[str], DataFrame]
 
@@ -27,14 +28,14 @@ _ORACLE: dict[str, str] = {}
 NOW = f"timestamp '{AS_OF}'"
 
 
-def query(sql: str | None = None, views: str = "", ctes: tuple[str, ...] = ()):
-    """Register a query; ``ctes`` names the shared expressions of ``_CTES`` the SQL reads."""
+def query(sql: str | None = None, views: str = "", ctes: tuple[str, ...] = (), instead: dict[str, str] | None = None):
+    """Register a query; ``ctes`` names the shared expressions of ``_CTES`` the SQL reads, ``instead`` replaces some."""
 
     def register(fn):
         name = fn.__name__
         _QUERIES[name] = fn
         if sql is not None:
-            extra = {c: _CTES[c] for c in _CTES if c in _needed(ctes)}
+            extra = {c: _CTES[c] for c in _CTES if c in _needed(ctes)} | (instead or {})
             wanted = set(views.split())
             for c in extra:
                 wanted |= set(_CTE_VIEWS.get(c, "").split())
@@ -680,8 +681,7 @@ def similar_entries(t):
     return _rounded(_hits(t), "relevance")
 
 
-@query("""WITH RECURSIVE numbered AS MATERIALIZED (SELECT * FROM candidates),
-walk AS (
+_WALK_SQL = """walk AS (
   SELECT src, cast(0 AS bigint) AS n, any_value(seeds) AS seen, 0 AS same, 0 AS other, cast(NULL AS bigint) AS dst,
          cast(NULL AS double) AS relevance, cast(0 AS bigint) AS rank
   FROM numbered GROUP BY src
@@ -691,7 +691,11 @@ walk AS (
          CASE WHEN take THEN dst END, relevance, rank + CASE WHEN take THEN 1 ELSE 0 END
   FROM (SELECT w.src, c.n, w.seen, w.same, w.other, w.rank, c.keys, c.same AS is_same, c.dst, c.relevance,
                NOT list_has_any(w.seen, c.keys) AND CASE WHEN c.same THEN w.same < 20 ELSE w.other < 20 END AS take
-        FROM walk w JOIN numbered c ON c.src = w.src AND c.n = w.n + 1) s)
+        FROM walk w JOIN numbered c ON c.src = w.src AND c.n = w.n + 1) s)"""
+
+
+@query(f"""WITH RECURSIVE numbered AS MATERIALIZED (SELECT * FROM candidates),
+{_WALK_SQL}
 SELECT src AS entry_id, dst AS dest_entry_id, cast(rank AS int) AS rank, round(relevance, 6) AS relevance
 FROM walk WHERE dst IS NOT NULL""", ctes=("candidates",))
 def select_recommendations(t):
@@ -848,11 +852,8 @@ WHERE round(score, 9) > (SELECT round(2 * sum(score) / ((SELECT count(DISTINCT u
   AND NOT EXISTS (SELECT 1 FROM ratings r WHERE r.user_id = d.user_id AND r.movie_id = d.entry_id)""",
        "ratings", ctes=("diffusion",))
 def bipartite_recommendations(t):
-    users = t("ratings").agg(F.count_distinct("user_id")).scalar()
-    items = t("part").agg(F.count(F.lit(1))).scalar()
-    chosen = bipartite.bipartite_recommendations(
-        _diffusion(t), collaborative.rated_pairs(t("ratings")), users, items
-    )
+    users = t("ratings").select("user_id").distinct().count()
+    chosen = bipartite.bipartite_recommendations(t("ratings"), users, t("part").count())
     return _rounded(chosen.withColumn("score", F.col("score") + _STEP), "score")
 
 
@@ -1144,3 +1145,79 @@ def kmeans_clusters(t):
        "SELECT p.user_id, p.cluster, p.id, e.title FROM placed p JOIN entries e ON e.id = p.id", **_CLUSTER_CTES)
 def cluster_listing(t):
     return clustering.cluster_listing(_clusters(t, *WIDE), t("entries"))
+
+
+# --------------------------------------------------------------------------
+# Whole runs over the catalogue, with an empty corpus and index to start from
+
+#: Some entries arrive again with another title.
+_CHANGED_AT = "2024-01-30 12:00:00"
+_SEEN = f"""
+SELECT id, feed_id, lang, permalink, direct_link, CASE WHEN id % 25 = 3 THEN concat('Changed ', title) ELSE title END AS title,
+       description, grain_size, permalink_good, oai_identifier,
+       CASE WHEN id % 25 = 3 THEN timestamp '{_CHANGED_AT}' ELSE harvested_at END AS harvested_at, indexed_at,
+       CASE WHEN id % 25 = 3 THEN coalesce(relevance_calculated_at, timestamp '{snapshots.NEVER}')
+            ELSE relevance_calculated_at END AS relevance_calculated_at, published_at
+FROM ({VIEWS["entries"]}) stored"""
+_BOOTSTRAP = 300
+
+
+def _after_run(seen: str, all: bool) -> dict:
+    """SQL of the recommendations after a run: those of the entries due anew, and old ones that nothing deleted touches."""
+    gone = f"SELECT id FROM ({seen}) s WHERE oai_identifier = 'deleted' OR NOT permalink_good"
+    entries = f"SELECT * FROM ({seen}) s WHERE oai_identifier IS DISTINCT FROM 'deleted'"
+    complete = "title IS NOT NULL AND description IS NOT NULL AND permalink IS NOT NULL AND grain_size IS NOT NULL"
+    stamped = f"""harvested_at > indexed_at AND feed_id IN (SELECT id FROM feeds)
+          AND (NOT coalesce(lang IN ({_LANGUAGES}), false) OR ({complete}))"""
+    due = "SELECT id FROM entries WHERE permalink_good AND oai_identifier <> 'deleted'"
+    if not all:
+        due = f"""{due} AND CASE WHEN {stamped} THEN {NOW} ELSE indexed_at END
+          > CASE WHEN id IN (SELECT entry_id FROM recommendations WHERE dest_entry_id IN (SELECT id FROM gone))
+                 THEN timestamp '{snapshots.NEVER}' ELSE relevance_calculated_at END"""
+    instead = {"entries": entries}
+    if not all:  # only what was harvested since has come into the empty corpus
+        instead["corpus"] = _CTES["corpus"].replace("FROM entries e", "FROM (SELECT * FROM entries WHERE harvested_at > indexed_at) e")
+    sql = f"""WITH RECURSIVE gone AS ({gone}), due AS ({due}),
+numbered AS MATERIALIZED (SELECT * FROM candidates WHERE src IN (SELECT id FROM due)),
+{_WALK_SQL},
+fresh AS (SELECT src AS entry_id, dst AS dest_entry_id, rank, relevance FROM walk WHERE dst IS NOT NULL),
+kept AS (
+  SELECT * FROM recommendations WHERE entry_id NOT IN (SELECT id FROM gone) AND dest_entry_id NOT IN (SELECT id FROM gone))
+SELECT f.entry_id, f.dest_entry_id, cast(f.rank AS int) AS rank, round(f.relevance, 6) AS relevance, coalesce(o.clicks, 0) AS clicks
+FROM fresh f LEFT JOIN kept o ON o.entry_id = f.entry_id AND o.dest_entry_id = f.dest_entry_id
+UNION ALL
+SELECT entry_id, dest_entry_id, rank, round(relevance, 6), clicks FROM kept WHERE entry_id NOT IN (SELECT entry_id FROM fresh)"""
+    return {"sql": sql, "views": "recommendations entries", "ctes": ("candidates",), "instead": instead}
+
+
+def _catalogue(t: Tables) -> runs.Catalogue:
+    entries = t("entries")
+    given = {name: t(name) for name in ("recommendations", "subjects", "entries_subjects", "feeds", "aggregation_feeds")}
+    return {**runs.empty_catalogue(entries.sparkSession), **given, "entries": cut(entries)}
+
+
+def _changes(state: runs.Catalogue) -> DataFrame:
+    return state["entries"].filter("id % 25 = 3").withColumns({
+        "title": F.concat(F.lit("Changed "), "title"), "harvested_at": F.lit(_CHANGED_AT).cast("timestamp")})
+
+
+def _recommended(state: runs.Catalogue) -> DataFrame:
+    return _rounded(state["recommendations"].select("entry_id", "dest_entry_id", "rank", "relevance", "clicks"), "relevance")
+
+
+@query(**_after_run(_SEEN, all=False))
+def run_incremental(t):
+    state = _catalogue(t)
+    return _recommended(runs.run_incremental(state, _changes(state), AS_OF))
+
+
+@query(**_after_run(_SEEN, all=True))
+def run_full(t):
+    state = _catalogue(t)
+    return _recommended(runs.run_full(state, _changes(state), AS_OF))
+
+
+@query(**_after_run(f"SELECT * FROM ({_SEEN}) x ORDER BY id LIMIT {_BOOTSTRAP}", all=False))
+def run_bootstrap(t):
+    state = _catalogue(t)
+    return _recommended(runs.run_bootstrap(state, _changes(state), AS_OF, n=_BOOTSTRAP))

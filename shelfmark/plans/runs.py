@@ -1,23 +1,25 @@
 """Whole runs over a catalogue: indexing, recommending, subjects, clouds, refreshes.
 
 A catalogue is a dictionary of tables (see ``sources.tables.SCHEMAS``).  Each run
-returns the next catalogue; tables that later steps read are stored in between.
-``as_of`` takes the place of the clock.
+returns the next catalogue; what changed is stored in between, whole tables only by
+``settle`` at the end of a run.  ``as_of`` takes the place of the clock.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from shelfmark.functions.lineage import cut
-from shelfmark.operators import buckets, corpus, personal, popularity, similar, snapshots, subjects, tagcloud, worksets
-from shelfmark.sources.tables import SCHEMAS, load_table
+from shelfmark.operators import buckets, corpus, index, personal, popularity, similar, snapshots, subjects, tagcloud, worksets
+from shelfmark.sources.tables import SCHEMAS
 
 Catalogue = dict[str, DataFrame]
 # Tables a run changes, and so writes anew.
 STATE_TABLES = (
     "entries", "corpus", "recommendations", "buckets", "subjects", "entries_subjects", "tag_clouds", "feeds",
-    "aggregation_feeds",
+    "aggregation_feeds", *index.INDEX_TABLES,
 )
 # The aggregation whose members may be recommended, entries of a first run.
 GLOBAL_AGGREGATION = 1
@@ -58,58 +60,80 @@ def harvest(entries: DataFrame, changes: DataFrame) -> DataFrame:
     return entries.join(latest.select("id"), "id", "left_anti").unionByName(merged).select(*columns)
 
 
+def settle(state: Catalogue) -> Catalogue:
+    """Store the state tables, so that the next run starts from tables and not from plans."""
+    return {name: cut(table) if name in STATE_TABLES else table for name, table in state.items()}
+
+
 def maintain_corpus(state: Catalogue, as_of, all: bool = False) -> Catalogue:
-    """Deletions first, then new and changed documents, then documents without an entry."""
+    """Deletions first, then new and changed documents, then documents without an entry.
+
+    ``touched`` of the result are the documents that were written or removed.
+    """
     state = dict(state)
     entries, recs, docs = state["entries"], state["recommendations"], state["corpus"]
 
     gone = cut(worksets.deleted_entries(entries))
     docs = corpus.remove_documents(docs, gone)
     entries = snapshots.flag_for_recompute(entries, recs, gone)
-    recs = snapshots.delete_involving(recs, gone)
-    entries = cut(snapshots.delete_entries(entries))
+    state["recommendations"] = snapshots.delete_involving(recs, gone)
+    entries = snapshots.delete_entries(entries)
 
-    due = entries.join(worksets.entries_to_index(entries, all), "id", "left_semi")
+    due = cut(entries.join(worksets.entries_to_index(entries, all), "id", "left_semi"))
     fresh = cut(corpus.build_corpus(due, state["feeds"]).select(*docs.columns))
     docs = corpus.remove_documents(docs, fresh).unionByName(fresh)
     known = due.join(state["feeds"].select(F.col("id").alias("feed_id")), "feed_id", "left_semi")
     done = corpus.corpus_validity(known).filter("stampable")
-    state["entries"] = cut(snapshots.stamp_processed(entries, done, "indexed_at", as_of))
-    orphans = corpus.index_orphans(docs, state["entries"])
-    state["corpus"] = cut(corpus.remove_documents(docs, orphans))
-    state["recommendations"] = cut(recs)
+    state["entries"] = snapshots.stamp_processed(entries, done, "indexed_at", as_of)
+    orphans = cut(corpus.index_orphans(docs, state["entries"]))
+    state["corpus"] = corpus.remove_documents(docs, orphans)
+    changed = fresh.select("id").unionByName(gone.select("id")).unionByName(orphans.select("id"))
+    state["touched"] = state["touched"].unionByName(changed) if "touched" in state else changed
     return state
 
 
+def kept_index(state: Catalogue) -> index.Index:
+    return index.Index(*[state[name] for name in index.INDEX_TABLES])
+
+
+def maintain_index(state: Catalogue) -> Catalogue:
+    """The kept index after the changes of the corpus; only changed documents are split into terms."""
+    state = dict(state)
+    adjust = None
+    if "stems" in state:  # (term, stem) and the words that stay as they are
+        protected = state["protected_words"] if "protected_words" in state else state["stems"].select("term").limit(0)
+        adjust = lambda terms: corpus.stem_vocabulary(terms, state["stems"], protected)
+    touched = state.pop("touched") if "touched" in state else state["corpus"].select("id").limit(0)
+    new = index.update_index(
+        kept_index(state), state["corpus"], state["subjects"], state["entries_subjects"], touched, adjust)
+    return {**state, **dict(zip(index.INDEX_TABLES, (new.terms, new.documents, new.vocabulary)))}
+
+
 def recommend(state: Catalogue, as_of, all: bool = False, per_domain: int = similar.PER_DOMAIN) -> Catalogue:
     """Recompute the recommendations and buckets of the entries that are due."""
-    state = dict(state)
+    state = maintain_index(state)
     entries, docs = state["entries"], state["corpus"]
     work = cut(worksets.entries_to_recommend(entries, all))
     aggs = corpus.feed_aggregations(state["feeds"], state["aggregation_feeds"])
-    fields = corpus.corpus_fields(docs, state["subjects"], state["entries_subjects"])
-    terms = corpus.weighted_terms(fields)
-    if "stems" in state:  # (term, stem) and the words that stay as they are
-        protected = state["protected_words"] if "protected_words" in state else state["stems"].select("term").limit(0)
-        terms = corpus.stem_vocabulary(terms, state["stems"], protected)
-    terms = cut(terms)
-    lengths = cut(similar.document_lengths(terms))
-    postings = cut(similar.index_postings(terms, lengths))
-    queries = similar.query_terms(postings.join(work, "id", "left_semi"))
+    kept = kept_index(state)
+    postings = index.postings(kept)
+    queries = cut(similar.query_terms(postings.join(work, "id", "left_semi")))
+    # Only postings of asked terms can score; what is stored follows the work of the run.
+    asked = cut(postings.join(queries.select("lang", "term").distinct(), ["lang", "term"], "left_semi"))
     members = corpus.members_of(docs, aggs, GLOBAL_AGGREGATION)
-    hits = similar.similar_entries(queries, postings, lengths, members)
+    hits = similar.similar_entries(queries, asked, index.document_lengths(kept), members)
     fresh = cut(similar.select_recommendations(hits, entries, per_domain))
 
-    stored = cut(snapshots.upsert_recommendations(state["recommendations"], fresh))
-    listed = stored.join(fresh.select(*snapshots.PAIR), snapshots.PAIR, "left_semi").select(*stored.columns)
-    lists = buckets.bucket_json(buckets.bucketize(listed), entries, state["feeds"])
-    state["recommendations"] = cut(snapshots.drop_stale_recommendations(stored, fresh))
+    stored = snapshots.upsert_recommendations(state["recommendations"], fresh)
+    listed = cut(stored.join(fresh.select(*snapshots.PAIR), snapshots.PAIR, "left_semi").select(*stored.columns))
+    lists = cut(buckets.bucket_json(buckets.bucketize(listed), entries, state["feeds"]))
+    state["recommendations"] = snapshots.drop_stale_recommendations(stored, fresh)
     redone = fresh.select("entry_id").distinct()
-    state["buckets"] = cut(
+    state["buckets"] = (
         state["buckets"].join(redone, "entry_id", "left_anti").unionByName(lists)
         .select("entry_id", *buckets.BUCKETS)
     )
-    state["entries"] = cut(snapshots.stamp_processed(entries, work, "relevance_calculated_at", as_of))
+    state["entries"] = snapshots.stamp_processed(entries, work, "relevance_calculated_at", as_of)
     return state
 
 
@@ -141,10 +165,13 @@ def update_clouds(state: Catalogue, depth: int = 3) -> Catalogue:
     return state
 
 
-def run_incremental(state: Catalogue, changes: DataFrame, as_of) -> Catalogue:
-    """Harvest, index and recommend what changed."""
-    state = {**state, "entries": cut(harvest(state["entries"], changes))}
-    return recommend(maintain_corpus(state, as_of), as_of)
+def run_incremental(state: Catalogue, changes: DataFrame, as_of, keep: Callable[[Catalogue], Catalogue] = settle) -> Catalogue:
+    """Harvest, index and recommend what changed.
+
+    ``keep`` stores the result: all of it (``settle``), or what changed (``write_snapshot``).
+    """
+    state = {**state, "entries": harvest(state["entries"], cut(changes))}
+    return keep(recommend(maintain_corpus(state, as_of), as_of))
 
 
 def run_full(state: Catalogue, changes: DataFrame, as_of, depth: int = 3) -> Catalogue:
@@ -155,9 +182,9 @@ def run_full(state: Catalogue, changes: DataFrame, as_of, depth: int = 3) -> Cat
     their stamps afterwards would find none, because recommending renews them.
     """
     state = {**state, "entries": cut(harvest(state["entries"], changes))}
-    state = maintain_corpus(state, as_of, all=True)
+    state = settle(maintain_corpus(state, as_of, all=True))
     work = cut(worksets.entries_to_recommend(state["entries"], all=True))
-    state = recommend(state, as_of, all=True)
+    state = settle(recommend(state, as_of, all=True))
     return update_clouds(add_subjects(state, work), depth)
 
 
@@ -171,9 +198,9 @@ def run_bootstrap(state: Catalogue, changes: DataFrame, as_of, n: int = BOOTSTRA
     chosen = worksets.bootstrap_limit(entries, n).select("id")
     later = cut(entries.join(chosen, "id", "left_anti"))
     state = {**state, "entries": cut(entries.join(chosen, "id", "left_semi"))}
-    state = maintain_corpus(state, as_of)
+    state = settle(maintain_corpus(state, as_of))
     work = cut(worksets.entries_to_recommend(state["entries"]))
-    state = update_clouds(add_subjects(recommend(state, as_of), work), depth=1)
+    state = update_clouds(add_subjects(settle(recommend(state, as_of)), work), depth=1)
     return {**state, "entries": cut(state["entries"].unionByName(later))}
 
 
@@ -192,16 +219,3 @@ def refresh_personal(state: Catalogue, tables: Catalogue, as_of, weekly: bool =
 def refresh_queries(queries: DataFrame, taggings: DataFrame, all_subjects: DataFrame) -> DataFrame:
     """Query suggestions after taking over the current popularity of the subjects."""
     return snapshots.upsert_queries(queries, popularity.subject_popularity(taggings, all_subjects))
-
-
-def write_snapshot(state: Catalogue, path: str) -> None:
-    """Write the state tables below ``path``; the corpus is laid out by language."""
-    for name in STATE_TABLES:
-        writer = state[name].write.mode("overwrite").option("partitionOverwriteMode", "static")
-        if name == "corpus":
-            writer = writer.partitionBy("lang")
-        writer.parquet(f"{path}/{name}")
-
-
-def read_snapshot(spark: SparkSession, path: str) -> Catalogue:
-    return {name: load_table(spark, path, name) for name in STATE_TABLES}

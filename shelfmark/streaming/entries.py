@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfmark.plans import runs
+from shelfmark.functions.lineage import scratch
+from shelfmark.plans import runs, snapshots
 
 # Time between two runs.
 INTERVAL = "60 seconds"
@@ -21,20 +22,30 @@ def stream_entries(
 ) -> StreamingQuery:
     """Start the incremental run on a stream of entry changes.
 
-    A batch reads the snapshot of the batch before it and writes its own, so a
-    batch repeated after a failure gives the same result.  ``as_of`` defaults to
-    the newest harvest time of the batch; ``interval=None`` works off what is
-    there and stops.
+    A batch reads the snapshot of the batch before it and writes its own, which
+    holds the parts that changed and points to the others.  A batch repeated after
+    a failure starts from the same snapshot and gives the same state.  Afterwards
+    its scratch tables go, and what neither of the two snapshots points to.
+    ``as_of`` defaults to the newest harvest time of the batch; ``interval=None``
+    works off what is there and stops.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        changed = runs.cut(batch)
-        state = runs.read_snapshot(spark, snapshot_path(state_path, batch_id - 1))
-        # A batch without any harvest time goes on from the newest time of the state.
-        newest = (x.selectExpr("max(harvested_at) + interval 1 second AS m").first()["m"] for x in (changed, state["entries"]))
-        moment = as_of or next((m for m in newest if m is not None), runs.NEVER_INDEXED)
-        runs.write_snapshot(runs.run_incremental(state, changed, moment), snapshot_path(state_path, batch_id))
+        before, after = snapshot_path(state_path, batch_id - 1), snapshot_path(state_path, batch_id)
+        with scratch(spark):
+            changed = runs.cut(batch)
+            state = snapshots.read_snapshot(spark, before)
+            # A batch without any harvest time goes on from the newest time of the state.
+            newest = (x.selectExpr("max(harvested_at) + interval 1 second AS m").first()["m"] for x in (changed, state["entries"]))
+            moment = as_of or next((m for m in newest if m is not None), runs.NEVER_INDEXED)
+
+            def keep(state: runs.Catalogue) -> runs.Catalogue:
+                snapshots.write_snapshot(state, after, before)
+                return state
+
+            runs.run_incremental(state, changed, moment, keep)
+        snapshots.remove_unused(spark, state_path, [before, after])
 
     writer = changes.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)

@@ -4,7 +4,10 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from shelfmark.functions.lineage import cut, ensure_checkpoint_dir, scratch
+from shelfmark.operators import corpus, index
 from shelfmark.plans import runs
+from shelfmark.plans.snapshots import read_pointer, read_snapshot, remove_unused, write_snapshot
 from shelfmark.sources.tables import SCHEMAS
 from shelfmark.streaming.entries import snapshot_path, stream_entries
 
@@ -74,7 +77,7 @@ def test_stream_gives_the_state_of_the_batch_run(spark, start, tmp_path):
         [change(i, "2024-01-02 00:00:00") for i in range(6, 9)] + [change(0, "2024-01-02 00:00:00", extra="galois theory")],
     ]
     source, snapshots = str(tmp_path / "in"), str(tmp_path / "state")
-    runs.write_snapshot(start, snapshot_path(snapshots, -1))
+    write_snapshot(start, snapshot_path(snapshots, -1))
     expected = start
     for n, rows in enumerate(batches):
         batch = changes(spark, rows)
@@ -82,7 +85,7 @@ def test_stream_gives_the_state_of_the_batch_run(spark, start, tmp_path):
         stream = spark.readStream.schema(batch.schema).parquet(source)
         stream_entries(stream, snapshots, str(tmp_path / "cp"), as_of=f"2024-02-0{n + 1}", interval=None).awaitTermination()
         expected = runs.run_incremental(expected, batch, f"2024-02-0{n + 1}")
-    got = runs.read_snapshot(spark, snapshot_path(snapshots, 1))
+    got = read_snapshot(spark, snapshot_path(snapshots, 1))
     for table, columns in (("entries", ("id", "description", "indexed_at")), ("corpus", ("id", "description"))):
         assert sorted(map(tuple, got[table].select(*columns).collect())) == sorted(
             map(tuple, expected[table].select(*columns).collect())
@@ -109,10 +112,110 @@ def test_harvest_keeps_entries_without_times_and_decides_ties(spark, start):
 
 def test_stream_of_changes_without_times(spark, start, tmp_path):
     snapshots, source = str(tmp_path / "state"), str(tmp_path / "in")
-    runs.write_snapshot(start, snapshot_path(snapshots, -1))
+    write_snapshot(start, snapshot_path(snapshots, -1))
     batch = changes(spark, [change(i, None) for i in range(3)])
     batch.coalesce(1).write.parquet(source)
     stream = spark.readStream.schema(batch.schema).parquet(source)
     stream_entries(stream, snapshots, str(tmp_path / "cp"), interval=None).awaitTermination()
-    got = runs.read_snapshot(spark, snapshot_path(snapshots, 0))
+    got = read_snapshot(spark, snapshot_path(snapshots, 0))
     assert ids(got["corpus"]) == [0, 1, 2] and got["entries"].filter("indexed_at IS NULL").count() == 0
+
+
+def rows_of(table):
+    return sorted(map(tuple, table.select(*sorted(table.columns)).collect()), key=str)
+
+
+def rebuilt_index(spark, state):
+    empty = index.Index(*[spark.createDataFrame([], SCHEMAS[name]) for name in index.INDEX_TABLES])
+    return index.update_index(empty, state["corpus"], state["subjects"], state["entries_subjects"], state["corpus"].select("id"))
+
+
+def assert_index_is_rebuilt(spark, state):
+    want, got = rebuilt_index(spark, state), runs.kept_index(state)
+    for part in ("terms", "documents", "vocabulary"):
+        assert rows_of(getattr(got, part)) == rows_of(getattr(want, part)), part
+
+
+@pytest.fixture(scope="module")
+def ten(spark, start):
+    return runs.run_incremental(start, changes(spark, [change(i, "2024-01-01 00:00:00") for i in range(10)]), FIRST)
+
+
+def test_one_change_splits_one_text(spark, ten, monkeypatch):
+    split = []
+
+    def counting(fields, *args, _terms=corpus.weighted_terms):
+        split.append(sorted({r["id"] for r in fields.select("id").collect()}))
+        return _terms(fields, *args)
+
+    later = changes(spark, [change(4, "2024-01-12 00:00:00", extra="galois theory")])
+    monkeypatch.setattr(corpus, "weighted_terms", counting)
+    one = runs.run_incremental(ten, later, SECOND)
+    monkeypatch.undo()
+    assert split == [[4]]
+    assert_index_is_rebuilt(spark, ten)
+    assert_index_is_rebuilt(spark, one)
+    assert one["index_vocabulary"].filter("term = 'galois'").first()["df"] == 1
+    empty = {n: spark.createDataFrame([], SCHEMAS[n]) for n in index.INDEX_TABLES}
+    fresh = runs.run_incremental({**ten, **empty}, later, SECOND)
+    for table in ("recommendations", "buckets", *index.INDEX_TABLES):
+        assert rows_of(one[table]) == rows_of(fresh[table])
+
+
+def test_index_after_deletions_and_new_subjects(spark, ten):
+    subjects = [(1, "Number theory"), (2, "Generated")]
+    state = {
+        **ten, "subjects": spark.createDataFrame(subjects, SCHEMAS["subjects"]),
+        "entries_subjects": spark.createDataFrame([(5, 1, False), (5, 1, False), (6, 2, True)], SCHEMAS["entries_subjects"]),
+        "corpus": ten["corpus"].filter("id <> 2"),
+    }
+    got = runs.maintain_index(state)
+    assert_index_is_rebuilt(spark, got)
+    assert got["index_terms"].filter("id = 5 AND term = 'theory'").first()["tf"] == 4
+    assert got["index_terms"].filter("term = 'generated'").count() == got["index_documents"].filter("id = 2").count() == 0
+
+
+def test_snapshot_writes_changed_parts_only(spark, ten, tmp_path):
+    root = str(tmp_path / "state")
+    paths = [f"{root}/batch={n}" for n in range(3)]
+    whole = write_snapshot(ten, paths[0], buckets=8)
+    stored = read_snapshot(spark, paths[0])
+    assert all(rows_of(stored[name]) == rows_of(ten[name].select(*stored[name].columns)) for name in runs.STATE_TABLES)
+
+    assert write_snapshot(stored, paths[1], paths[0]) == 0
+    changed = {**stored, "corpus": stored["corpus"].withColumn("title", F.when(F.col("id") == 7, "Changed").otherwise(F.col("title")))}
+    assert write_snapshot(changed, paths[2], paths[1]) == 1 < whole
+    assert write_snapshot(changed, paths[2], paths[1]) == 1  # again, after a failure
+    folders = [r["folder"] for r in read_pointer(spark, paths[2]).collect()]
+    assert sum(f.startswith(paths[2]) for f in folders) == 1
+
+    removed = remove_unused(spark, root, paths[2:])
+    assert paths[1] in removed and sum(r.startswith(paths[0]) for r in removed) == 2  # one old part and the old pointer
+    got = read_snapshot(spark, paths[2])
+    assert all(rows_of(got[name]) == rows_of(ten[name].select(*got[name].columns)) for name in runs.STATE_TABLES if name != "corpus")
+    assert [r["title"] for r in got["corpus"].filter("id = 7").collect()] == ["Changed"] and got["corpus"].count() == 10
+
+
+def test_small_batch_writes_few_files_and_repeats(spark, ten, tmp_path):
+    before, after = f"{tmp_path}/batch=0", f"{tmp_path}/batch=1"
+    write_snapshot(ten, before, buckets=32)
+    batch = changes(spark, [change(3, "2024-01-15 00:00:00", extra="lemma")])
+    states = []
+    for _ in range(2):
+        runs.run_incremental(read_snapshot(spark, before), batch, SECOND, lambda s: write_snapshot(s, after, before))
+        states.append({name: rows_of(table) for name, table in read_snapshot(spark, after).items()})
+    assert states[0] == states[1]
+    written = [r for r in read_pointer(spark, after).collect() if r["folder"].startswith(after)]
+    touched = {r["table"]: sum(x["table"] == r["table"] for x in written) for r in written}
+    assert touched["entries"] == touched["corpus"] == touched["index_documents"] == touched["index_terms"] == 1
+    assert len(list((tmp_path / "batch=1").rglob("*.parquet"))) == len(written) + 1
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    before = set(os.listdir(ensure_checkpoint_dir(spark)))
+    with scratch(spark):
+        assert cut(spark.range(5)).count() == 5
+        assert set(os.listdir(ensure_checkpoint_dir(spark))) > before
+    assert set(os.listdir(ensure_checkpoint_dir(spark))) == before
