@@ -14,7 +14,7 @@ article) label their blocks.  Further sections of these kinds, made of words of
 the same pages, are put into copies of the sample, so that the labeller also
 knows kinds that a crawl happens to lack, and pages that do not mark their article.
 
-Defined results: a null or empty html has the empty text; scripts, styles,
+Defined results: a null or empty html has the empty text; a null page_id is kept; scripts, styles,
 comments of the markup and other elements without visible text give no blocks;
 formulas are text of the line they stand in, without their annotations;
 character references are decoded; repeated rows give repeated results; an empty
@@ -46,6 +46,8 @@ HIDDEN = 20
 ROUNDS = 10
 RATE = 0.02
 SEED = 11
+#: Blocks, padding included, that the network reads at once; sets the memory of a task.
+CELLS = 30_000
 
 # Fixed values of the markup language.
 SILENT = frozenset("script style noscript template title textarea select iframe object svg canvas audio video "
@@ -204,10 +206,13 @@ class Labeller:
             rng.normal(size=(PATH_SLOTS, PATH_SIZE)), rng.normal(size=(WORD_SLOTS, WORD_SIZE)),
             [rng.normal(size=(n + HIDDEN + 1, 4 * HIDDEN)) * 0.15 for _ in range(2)], np.zeros(2 * HIDDEN + n + 1))
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, gates: np.ndarray, keep: list | None):
-        """Hidden states of a batch (pages x blocks x input); masked steps leave the state as it is."""
+    def _run(self, x: np.ndarray, mask: np.ndarray, gates: np.ndarray, keep: list | None, state: list | None = None):
+        """Hidden states of a batch (pages x blocks x input); masked steps leave the state as it is.
+
+        ``state`` (h and c) is where the run starts and is left as it ends.
+        """
         pages, steps, n = x.shape
-        h, c = np.zeros((pages, HIDDEN)), np.zeros((pages, HIDDEN))
+        h, c = state or (np.zeros((pages, HIDDEN)), np.zeros((pages, HIDDEN)))
         fixed = x @ gates[:n] + gates[-1]
         out = np.empty((pages, steps, HIDDEN))
         for t in range(steps):
@@ -222,6 +227,8 @@ class Labeller:
                 keep.append((h, c, i, f, o, g, tanh_c))
             h, c = new_h, new_c
             out[:, t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
     def _back(self, d_out: np.ndarray, x: np.ndarray, mask: np.ndarray, gates: np.ndarray, keep: list) -> tuple[np.ndarray, np.ndarray]:
@@ -264,18 +271,47 @@ class Labeller:
         d_backward, _ = self._back(d_states[:, ::-1, HIDDEN:], x[:, ::-1], mask[:, ::-1], self.gates[1], keep[1])
         return [d_forward, d_backward, d_output]
 
-    def label(self, pages: list[list[Block]], path_slots: _Slots, word_slots: _Slots) -> list[np.ndarray]:
-        """Whether each block of each page is article."""
-        if not pages:
-            return []
-        lengths = [len(b) for b in pages]
-        x = np.zeros((len(pages), max(1, *lengths), INPUT))
-        mask = np.zeros(x.shape[:2])
-        for row, m, blocks in zip(x, mask, pages):
-            if blocks:
-                row[:len(blocks)] = _vectors(blocks, self.paths, self.words, path_slots, word_slots)
-                m[:len(blocks)] = 1.0
-        return [s[:n] >= 0.5 for s, n in zip(self.scores(x, mask), lengths)]
+    def _long_scores(self, blocks: list[Block], path_slots: _Slots, word_slots: _Slots, cells: int) -> np.ndarray:
+        """Scores of one long page, read in slices; the state goes on from slice to slice in both directions."""
+        logits = np.full(len(blocks), self.output[-1])
+        parts = [(0, self.output[:HIDDEN], 1), (1, self.output[HIDDEN:2 * HIDDEN], -1)]
+        starts = range(0, len(blocks), cells)
+        for side, weights, way in parts:
+            state = [np.zeros((1, HIDDEN)), np.zeros((1, HIDDEN))]
+            for at in starts[::way]:
+                x = _vectors(blocks[at:at + cells], self.paths, self.words, path_slots, word_slots)
+                if side == 0:
+                    logits[at:at + cells] += x @ self.output[2 * HIDDEN:-1]
+                hidden = self._run(x[None, ::way], np.ones((1, len(x))), self.gates[side], None, state)[0]
+                logits[at:at + cells] += (hidden @ weights)[::way]
+        return _sigmoid(logits)
+
+    def label(self, pages: list[list[Block]], path_slots: _Slots, word_slots: _Slots, cells: int = CELLS) -> list[np.ndarray]:
+        """Whether each block of each page is article.
+
+        Pages of like length are read together, as many as have ``cells`` blocks with
+        their padding; a page with more is read by itself in slices.
+        """
+        out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
+        order = sorted((k for k in range(len(pages)) if pages[k]), key=lambda k: len(pages[k]))
+        at = 0
+        while at < len(order):
+            end = at + 1
+            while end < len(order) and (end + 1 - at) * len(pages[order[end]]) <= cells:
+                end += 1
+            own = order[at:end]
+            at = end
+            if len(pages[own[0]]) > cells:
+                out[own[0]] = self._long_scores(pages[own[0]], path_slots, word_slots, cells) >= 0.5
+                continue
+            x = np.zeros((len(own), len(pages[own[-1]]), INPUT))
+            mask = np.zeros(x.shape[:2])
+            for row, m, k in zip(x, mask, own):
+                row[:len(pages[k])] = _vectors(pages[k], self.paths, self.words, path_slots, word_slots)
+                m[:len(pages[k])] = 1.0
+            for k, scores in zip(own, self.scores(x, mask)):
+                out[k] = scores[:len(pages[k])] >= 0.5
+        return out
 
 
 def _marked(block: Block) -> int | None:
@@ -381,12 +417,17 @@ def train(pages: list[str], seed: int = SEED) -> Labeller:
 
 
 def sample_pages(pages: DataFrame, n: int = TRAIN_PAGES) -> list[str]:
-    """At most ``n`` pages in hash order."""
-    chosen = (
-        pages.select(F.col("page_id"), F.col("html").cast("string").alias("html")).filter("html <> ''")
-        .orderBy(F.xxhash64("page_id"), "page_id").limit(n)
-    )
-    return [r["html"] for r in chosen.collect()]
+    """At most ``n`` pages in hash order, one per page_id (the smallest html, if an id has several).
+
+    Ids are chosen first, so that the driver gets ``n`` pages and not ``n`` of every partition.
+    """
+    known = pages.select(
+        F.col("page_id").alias("_id"), F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("_key"),
+        F.col("html").cast("string").alias("html"),
+    ).filter("html <> ''")
+    keys = known.select("_key", F.xxhash64("_id").alias("_hash"), "_id").distinct().orderBy("_hash", "_id").limit(n)
+    chosen = known.join(F.broadcast(keys.select("_key", "_hash")), "_key").groupBy("_hash", "_id").agg(F.min("html").alias("html"))
+    return [r["html"] for r in sorted(chosen.collect(), key=lambda r: (r["_hash"], r["_id"] or 0))]
 
 
 def main_text(pages: DataFrame, model: Labeller) -> DataFrame:
@@ -397,12 +438,8 @@ def main_text(pages: DataFrame, model: Labeller) -> DataFrame:
         for batch in batches:
             found = [blocks_of(page) for page in batch["html"]]
             texts = [""] * len(found)
-            # Pages of like length share a batch of the network.
-            order = sorted(range(len(found)), key=lambda k: len(found[k]))
-            for at in range(0, len(order), 256):
-                own = order[at:at + 256]
-                for k, keep in zip(own, model.label([found[k] for k in own], path_slots, word_slots)):
-                    texts[k] = " ".join(b.text for b, use in zip(found[k], keep) if use)
+            for k, keep in enumerate(model.label(found, path_slots, word_slots)):
+                texts[k] = " ".join(b.text for b, use in zip(found[k], keep) if use)
             yield pd.DataFrame({"page_id": batch["page_id"], "url": batch["url"], "text": texts})
 
     return pages.select(

@@ -100,3 +100,31 @@ def test_odd_pages(spark, labeller):
     assert len(text[7]) == 3_000 * len("stone light ") - 1
     empty = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert extract.extract(empty).count() == 0
+
+
+def test_long_page_in_bounded_memory():
+    """20,000 blocks beside 255 short pages stay below 500 MB; slices give the labels of one run."""
+    import tracemalloc
+
+    model = extract.train(['<nav>a b</nav><article><p>some text of a page</p></article><footer>c</footer>'])
+    slots = extract._Slots(extract.PATH_SLOTS), extract._Slots(extract.WORD_SLOTS)
+    long = extract.blocks_of("<body>" + "<nav><a>home</a></nav><article><p>words of it</p></article>" * 10_000 + "</body>")
+    short = extract.blocks_of("<nav>x</nav><article><p>text</p></article>")
+    assert len(long) == 20_000
+    tracemalloc.start()
+    found = model.label([short] * 255 + [long], *slots)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 500_000_000 and [len(f) for f in found] == [2] * 255 + [20_000]
+    some = long[:300]
+    whole = model.label([some], *slots, cells=1_000)[0]
+    assert model.label([short, some, short], *slots, cells=7)[1].tolist() == whole.tolist()
+    x = extract._vectors(some, model.paths, model.words, *slots)
+    assert np.allclose(model._long_scores(some, *slots, 7), model.scores(x[None], np.ones((1, 300)))[0])
+
+
+def test_sample_takes_one_page_per_id(spark):
+    rows = [(1, "u", "<p>b</p>"), (1, "u", "<p>a</p>"), (None, "u", "<p>n</p>"), (2, "u", None), (3, "u", "")] + [(4, "u", "<p>c</p>")] * 50
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)
+    assert sorted(extract.sample_pages(pages)) == ["<p>a</p>", "<p>c</p>", "<p>n</p>"]
+    assert len(extract.sample_pages(pages, 2)) == 2
