@@ -28,7 +28,6 @@ from __future__ import annotations
 import os
 import struct
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -54,16 +53,17 @@ STEP = 1024
 #: Shards in one file.
 SHARDS_PER_FILE = 16
 #: Chunks known to a task before it forgets them all, and characters of a text taken at a time.
-KNOWN_CHUNKS = 1_000_000
+KNOWN_CHUNKS = 600_000
 SLICE_CHARS = 4_000_000
+#: Characters of texts that are looked up together.
+GROUP_CHARS = 1_000_000
 
 _HEAD = struct.Struct("<4sQIIIIQQ")
 _BLOCK = struct.Struct("<IIII")
 _DOC = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("ids", "<u8")])
 #: Code points that some version of the tokenizer's tables may take for white space or split apart from letters.
-_UNSAFE = frozenset(map(chr, [*range(0x21), *range(0x7F, 0xA1), 0x1680, 0x180E, *range(0x2000, 0x2010),
-                              *range(0x2028, 0x2030), *range(0x205F, 0x2070), 0x3000, 0xFEFF]))
-
+_UNSAFE = frozenset(["", *map(chr, [*range(0x21), *range(0x7F, 0xA1), 0x1680, 0x180E, *range(0x2000, 0x2010),
+                              *range(0x2028, 0x2030), *range(0x205F, 0x2070), 0x3000, 0xFEFF])])
 
 # ---------------------------------------------------------------- encoding
 
@@ -91,8 +91,18 @@ class _Chunks(dict):
         return number
 
 
-def _visible(char: str) -> bool:
-    return char not in _UNSAFE
+class _Column:
+    """A numpy array that grows at its end."""
+
+    def __init__(self, dtype) -> None:
+        self.data, self.used = np.zeros(1 << 12, dtype), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        need = self.used + len(values)
+        if need > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(max(need, len(self.data)), self.data.dtype)])
+        self.data[self.used:need] = values
+        self.used = need
 
 
 class Encoder:
@@ -108,11 +118,10 @@ class Encoder:
 
     def _forget(self) -> None:
         self.numbers = _Chunks()
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.used = 0
+        self.ids = _Column(np.int32)
         #: Of every piece: place and number of its ids, and whether a chunk may begin or end with it.
-        self.first, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.opens, self.closes = np.zeros(0, bool), np.zeros(0, bool)
+        self.first, self.size = _Column(np.int64), _Column(np.int64)
+        self.opens, self.closes = _Column(bool), _Column(bool)
 
     def _library(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
@@ -125,8 +134,8 @@ class Encoder:
         new, self.numbers.new = self.numbers.new, []
         if not new:
             return
-        opens = np.fromiter((x != "" and _visible(x[0]) for x in new), bool, len(new))
-        closes = np.fromiter((x != "" and _visible(x[-1]) for x in new), bool, len(new))
+        opens = np.fromiter((x[:1] not in _UNSAFE for x in new), bool, len(new))
+        closes = np.fromiter((x[-1:] not in _UNSAFE for x in new), bool, len(new))
         for text in self.special:
             if text in "\n".join(new):
                 special = np.fromiter((text in x for x in new), bool, len(new))
@@ -144,23 +153,22 @@ class Encoder:
             if len(begin) != len(chunks):
                 raise ValueError("not a tokenizer that splits at blanks")
             size[plain] = np.diff(np.append(begin, len(ids)))
-        self.first = np.concatenate([self.first, self.used + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.opens, self.closes = np.concatenate([self.opens, opens]), np.concatenate([self.closes, closes])
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used:self.used + len(ids)] = ids
-        self.used += len(ids)
+        self.first.extend(self.ids.used + np.cumsum(size) - size)
+        self.ids.extend(ids)
+        self.size.extend(size)
+        self.opens.extend(opens)
+        self.closes.extend(closes)
 
     def _gather(self, codes: np.ndarray) -> np.ndarray:
-        count = self.size[codes]
-        shift = self.first[codes] - (np.cumsum(count) - count)
-        return self.ids[np.repeat(shift, count) + np.arange(int(count.sum()))]
+        count = self.size.data[codes]
+        shift = self.first.data[codes] - (np.cumsum(count) - count)
+        return self.ids.data[np.repeat(shift, count) + np.arange(int(count.sum()))]
 
     def _place(self, pieces: list[str], codes: np.ndarray) -> list[np.ndarray]:
         """Ids of one text from its pieces between blanks; what is no plain chunk goes to the library as it stands."""
-        cut = np.append(True, self.closes[codes[:-1]] & self.opens[codes[1:]])
-        single = self.opens[codes] & self.closes[codes] & cut & np.append(cut[1:], True)
+        opens, closes = self.opens.data[codes], self.closes.data[codes]
+        cut = np.append(True, closes[:-1] & opens[1:])
+        single = opens & closes & cut & np.append(cut[1:], True)
         single[0] = False  # no blank before it
         heads = np.flatnonzero(cut)
         tails = np.append(heads[1:], len(pieces))
@@ -180,7 +188,7 @@ class Encoder:
         at = 0
         while len(text) - at > self.slice_chars:
             cut = text.find(" ", at + self.slice_chars)
-            while 0 < cut and not (cut + 1 < len(text) and _visible(text[cut - 1]) and _visible(text[cut + 1])
+            while 0 < cut and not (cut + 1 < len(text) and text[cut - 1] not in _UNSAFE and text[cut + 1] not in _UNSAFE
                                    and not any(s in text[cut - len(s):cut + len(s) + 1] for s in self.special)):
                 cut = text.find(" ", cut + 1)
             if cut < 0:
@@ -206,7 +214,7 @@ class Encoder:
             # The first piece of a later slice is empty: the blank before its chunk.
             group.append([p.split(" ") for p in self._slices(text)])
             waiting += len(text)
-            if waiting >= self.slice_chars // 4:
+            if waiting >= GROUP_CHARS:
                 yield from finish()
                 group, waiting = [], 0
         yield from finish()
@@ -224,36 +232,40 @@ def compress(ids: np.ndarray, least_places: int = LEAST_PLACES, least_saving: fl
     """
     symbols = ids.astype(np.uint32)
     first = int(symbols.max()) + 1 if len(symbols) else 0
-    rules, sizes, top, round_ = [], [np.ones(0, np.int64)], first, 0
-    bits = max(10, int(len(symbols)).bit_length())
-    representative = np.zeros(1 << bits, np.int64)
+    rules, top, round_ = [], first, 0
+    bits = max(10, int(len(symbols)).bit_length() - 3)
+    representative = np.zeros(1 << bits, np.int32)
+    numbers = np.arange(len(symbols), dtype=np.int32)
     while len(symbols) > 1:
         left, right = symbols[:-1], symbols[1:]
         place = left * np.uint32(0x9E3779B1 + 2 * round_) + right * np.uint32(0x85EBCA6B + 4 * round_)
         place ^= place >> np.uint32(15)
-        place = (place * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits)
-        pair = left.astype(np.uint64) << np.uint64(32) | right
-        representative[place] = np.arange(len(pair))
-        same = pair[representative[place]] == pair
+        place = ((place * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits)).astype(np.intp)
+        representative[place] = numbers[:len(place)]
+        other = representative[place]
+        same = (left[other] == left) & (right[other] == right)
         counts = np.bincount(place[same], minlength=1 << bits)
-        # Weight of a place of the sequence: how often its pair stands there; zero if it is not to be replaced.
-        weight = counts[place]
-        weight[~same | (weight < least_places)] = 0
-        weight = weight << bits | place  # equal counts differ by their pair
-        taken = np.flatnonzero(
-            (weight >= (least_places << bits))
-            & (weight > np.append(0, weight[:-1])) & (weight >= np.append(weight[1:], 0)))
-        places = np.bincount(place[taken], minlength=1 << bits)
-        taken = taken[places[place[taken]] >= least_places]
+        counts[counts < least_places] = 0
+        # Rank of a pair: its frequency, equal ones told apart by their place in the table; 0 stays as it is.
+        rank = np.where(counts > 0, counts << bits | np.arange(1 << bits), 0)[place]
+        rank[~same] = 0
+        best = rank > 0
+        best[1:] &= rank[1:] > rank[:-1]
+        best[:-1] &= rank[:-1] >= rank[1:]
+        taken = np.flatnonzero(best)
+        where = place[taken]
+        enough = np.bincount(where, minlength=1 << bits) >= least_places
+        kept = enough[where]
+        taken, where = taken[kept], where[kept]
         if len(taken) < max(1, least_saving * len(symbols)):
             break
+        chosen = np.flatnonzero(enough)
         names = np.zeros(1 << bits, np.uint32)
-        chosen = np.unique(place[taken])
         names[chosen] = top + np.arange(len(chosen), dtype=np.uint32)
-        where = representative[chosen]
-        rules.append(np.stack([left[where], right[where]], 1))
+        known = representative[chosen]
+        rules.append(np.stack([left[known], right[known]], 1))
         symbols = symbols.copy()
-        symbols[taken] = names[place[taken]]
+        symbols[taken] = names[where]
         keep = np.ones(len(symbols), bool)
         keep[taken + 1] = False
         symbols = symbols[keep]
@@ -393,8 +405,9 @@ def shards_of(data: bytes) -> Iterator[Shard]:
 class _Writer:
     """Documents of one task, in order, as shards."""
 
-    def __init__(self, part: int) -> None:
+    def __init__(self, part: int, shard_ids: int, block_ids: int) -> None:
         self.part, self.number, self.before = part, 0, 0
+        self.shard_ids, self.block_ids = shard_ids, block_ids
         self._open()
 
     def _open(self) -> None:
@@ -405,12 +418,12 @@ class _Writer:
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[bytes]:
         self.documents.append((doc_id or 0, doc_id is None, len(ids)))
         self.n_ids += len(ids)
-        for at in range(0, len(ids), BLOCK_IDS):
-            self.waiting.append(ids[at:at + BLOCK_IDS])
+        for at in range(0, len(ids), self.block_ids):
+            self.waiting.append(ids[at:at + self.block_ids])
             self.held += len(self.waiting[-1])
-            while self.held >= BLOCK_IDS:
-                self._block(BLOCK_IDS)
-        if self.n_ids >= SHARD_IDS:
+            while self.held >= self.block_ids:
+                self._block(self.block_ids)
+        if self.n_ids >= self.shard_ids:
             yield self.close()
 
     def _block(self, size: int) -> None:
@@ -433,7 +446,10 @@ class _Writer:
 
 # ---------------------------------------------------------------- jobs
 
-def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_column: str = "doc_id", text: str = "text") -> None:
+def write_ids(
+    docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_column: str = "doc_id", text: str = "text",
+    shard_ids: int = SHARD_IDS, block_ids: int = BLOCK_IDS,
+) -> None:
     """Write the ids of every text, each with ``end_id`` after it, under ``folder`` in ascending order of the documents.
 
     Order: null ids first, then by id; documents of one id by the hash of their
@@ -449,7 +465,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, id_colu
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, encoder = _Writer(TaskContext.get().partitionId()), Encoder(tokenizer)
+        writer, encoder = _Writer(TaskContext.get().partitionId(), shard_ids, block_ids), Encoder(tokenizer)
         end = np.array([end_id], np.int32)
 
         def members() -> Iterator[bytes]:

@@ -80,15 +80,12 @@ def brute(table):
     return out
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_round_trip(spark, monkeypatch, small):
-    if small:
-        monkeypatch.setattr(tf, "SHARD_IDS", 500)
-        monkeypatch.setattr(tf, "BLOCK_IDS", 130)
+@pytest.mark.parametrize("sizes", [{}, {"shard_ids": 500, "block_ids": 130}])
+def test_round_trip(spark, sizes):
     table = rows()
     frame = spark.createDataFrame(random.Random(2).sample(table, len(table)), SCHEMA).repartition(5)
-    folder = f"{ensure_checkpoint_dir(spark)}/ids-test-{small}"
-    tf.write_ids(frame, folder, PATH, 2)
+    folder = f"{ensure_checkpoint_dir(spark)}/ids-test-{len(sizes)}"
+    tf.write_ids(frame, folder, PATH, 2, **sizes)
     got = sorted(tf.read_ids(spark, folder).collect(), key=lambda r: r["start"])
     found = [(r["doc_id"], r["n_ids"], zlib.crc32(bytes(r["ids"]))) for r in got]
     want = brute([r[:2] for r in table])
