@@ -122,8 +122,10 @@ def mix(
     """
     named = {"_domain": domain, "_lang": F.col(lang), "_source": F.col(source)}
     keys = list(named)
-    tagged = docs.withColumns(
-        {k: F.coalesce(c.cast("string"), F.lit(UNKNOWN)) for k, c in named.items()} | {"_tokens": token_count(text)})
+    # The given columns travel as one, so that none of them can clash with a name used here.
+    tagged = docs.select(
+        F.struct("*").alias("_row"), id_key(id_column).alias("_id"), token_count(text).alias("_tokens"),
+        *[F.coalesce(c.cast("string"), F.lit(UNKNOWN)).alias(k) for k, c in named.items()])
     leaves = cut(
         tagged.groupBy(*keys).agg(F.sum("_tokens").alias("supply"))
         .select(*[F.col(k).alias(name) for k, name in zip(keys, LEVELS)], "supply")
@@ -134,7 +136,7 @@ def mix(
             F.floor(F.col("budget") / F.col("supply")).cast("bigint").alias("_full"),
             F.pmod(F.col("budget"), F.col("supply")).alias("_rest"))
     )
-    order = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("_full") + 1).cast("string"), id_key(id_column)).cast("binary"))
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col("_full") + 1).cast("string"), F.col("_id")).cast("binary"))
     ordered = tagged.join(budgets, keys).withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, 3))
     spot = [*keys, "_bucket"]
     earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)  # 4,096 rows a leaf
@@ -148,6 +150,6 @@ def mix(
         .withColumn("_end", F.col("_before") + F.sum("_tokens").over(within))
         .withColumn("_copies", F.col("_full") + (F.col("_end") <= F.col("_rest")).cast("bigint"))
         .filter("_copies > 0")
-        .withColumns(dict(zip(added, [F.col("_domain"), F.col("_tokens"), F.col("_copies")])))
-        .drop(*keys, "_tokens", "_full", "_rest", "_order", "_bucket", "_before", "_end", "_copies")
+        .select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in added],
+                *[F.col(c).alias(name) for c, name in zip(("_domain", "_tokens", "_copies"), added)])
     )

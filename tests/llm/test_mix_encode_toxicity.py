@@ -175,3 +175,13 @@ def test_rare_insult_is_learnt_among_many_features(spark, in_clean):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, int(n < 4)) for n, i in enumerate(ids)], "doc_id bigint, toxic int")
     assert toxicity.fit(docs, labels).weights.get("vexing", 0) > 0
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    names = ["_tokens", "_order", "_bucket", "_full", "_rest", "_domain", "_row", "_id", "_copies"]
+    docs = spark.createDataFrame(DOCS, SCHEMA).withColumns({n: F.lit(n) for n in names})
+    got = mixing.mix(docs, spark.createDataFrame(WEIGHTS, WEIGHTS_SCHEMA), F.col("part"), 60)
+    assert set(names) <= set(got.columns)
+    rows = got.collect()
+    assert sorted([(r["doc_id"], r["domain"], r["n_tokens"], r["copies"]) for r in rows], key=str) == sorted(brute_mix(DOCS, 60), key=str)
+    assert all(r[n] == n for r in rows for n in names)
