@@ -161,7 +161,7 @@ def _vectors(sample: DataFrame, index: dict[str, int], terms: tuple[str, ...]) -
             for doc_id, toxic, text in zip(batch["doc_id"], batch["toxic"], batch["text"]):
                 sentences = [s for s in _SENTENCE.findall(text.lower()) if s.strip()]
                 chosen = [s for s in sentences if not set(terms).isdisjoint(_WORD.findall(s))]
-                chosen = chosen or sentences[doc_id % len(sentences):][:1] if sentences else []
+                chosen = chosen or sentences[zlib.crc32(text.encode("utf-8", "replace")) % len(sentences):][:1] if sentences else []
                 plus: set[str] = set()
                 minus: set[str] = set()
                 for sentence in chosen:
