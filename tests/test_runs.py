@@ -214,8 +214,9 @@ def test_small_batch_writes_few_files_and_repeats(spark, ten, tmp_path):
 def test_scratch_tables_go(spark):
     import os
 
-    before = set(os.listdir(ensure_checkpoint_dir(spark)))
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
     with scratch(spark):
         assert cut(spark.range(5)).count() == 5
-        assert set(os.listdir(ensure_checkpoint_dir(spark))) > before
-    assert set(os.listdir(ensure_checkpoint_dir(spark))) == before
+        assert set(os.listdir(folder)) > before
+    assert set(os.listdir(folder)) == before
