@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from shelfmark.operators import clustering, corpus
+from shelfmark.plans import catalog
 
 
 def test_terms_are_counted_in_tasks_of_bounded_text(spark, monkeypatch):
@@ -23,3 +24,29 @@ def test_tokens_are_counted_in_tasks_of_bounded_size(spark, monkeypatch):
     assert sorted(map(tuple, got.filter("id = 7").collect())) == [(7, "one", 2), (7, "two", 1)]
     per_task = got.groupBy(F.spark_partition_id()).agg(F.countDistinct("id").alias("n")).agg(F.max("n")).first()[0]
     assert per_task < 60
+
+
+def test_vectors_of_blocks_equal_those_of_moved_counts(spark, monkeypatch):
+    monkeypatch.setattr(clustering, "BLOCK_CHARACTERS", 1_500, raising=False)
+    words = ["new york", "harbour", "rain and snow", "x1", "light", "stone river", "q", "late"]
+    text = lambda i: " ".join(words[(i * k + k // 3) % (len(words) - i % 3)] for k in range(i % 40)) or None
+    docs = spark.createDataFrame([(i, f"Title {i} ", text(i)) for i in range(120)] + [(7, "Twice ", "rain again")],
+                                 "id bigint, title string, description string")
+    tokens = clustering.cut(clustering.document_tokens(docs))
+    grams = clustering.cut(clustering.document_grams(tokens, clustering.collocations(tokens, 3, 5.0)))
+    want = {(r.id, r.term): round(r.weight, 9) for r in clustering.tfidf_vectors(grams, 121, 4, 60).collect()}
+    got = clustering.cut(clustering.block_vectors(docs, 121, min_support=3, min_llr=5.0, min_df=4, max_df_pct=60))
+    assert {(r.id, r.term): round(r.weight, 9) for r in got.collect()} == want
+    assert any(" " in term for _, term in want) and any(" " not in term for _, term in want)
+    assert clustering.document_blocks(docs)[1] > 5
+
+
+def test_weights_do_not_move_the_counts_of_documents(spark):
+    plan = catalog.queries()["tfidf_weights"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id" not in plan and "hashpartitioning(term" not in plan
+
+
+def test_empty_texts_have_no_vectors(spark):
+    docs = spark.createDataFrame([(1, None, None), (2, "a", "of")], "id bigint, title string, description string")
+    assert clustering.block_vectors(docs, 2, min_df=1).collect() == []
+    assert clustering.block_vectors(docs.limit(0), 0).collect() == []
