@@ -20,7 +20,8 @@ no rows; other columns are ignored, whatever their names.
 
 Texts are encoded chunk by chunk.  The tokenizer's split never joins a chunk that
 ends in a visible character with one that starts with a blank and a visible
-character, so a text may be cut there and equal chunks encoded once per task.
+character, so a text may be cut there and equal chunks encoded once as long as the
+Python worker, which runs one task after another, remembers them.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -52,11 +54,11 @@ LEAST_SAVING = 0.04
 STEP = 1024
 #: Shards in one file.
 SHARDS_PER_FILE = 16
-#: Chunks known to a task before it forgets them all, and characters of a text taken at a time.
-KNOWN_CHUNKS = 600_000
+#: Chunks known to a worker before it forgets the rare ones, and characters of a text taken at a time.
+KNOWN_CHUNKS = 1_000_000
 SLICE_CHARS = 4_000_000
 #: Characters of texts that are looked up together.
-GROUP_CHARS = 1_000_000
+GROUP_CHARS = 2_000_000
 
 _HEAD = struct.Struct("<4sQIIIIQQ")
 _BLOCK = struct.Struct("<IIII")
@@ -106,7 +108,7 @@ class _Column:
 
 
 class Encoder:
-    """Ids of whole texts; the library encodes a distinct chunk once, as long as a task remembers it."""
+    """Ids of whole texts; the library encodes a distinct chunk once, as long as it is remembered."""
 
     def __init__(self, path: str, known: int = KNOWN_CHUNKS, slice_chars: int = SLICE_CHARS) -> None:
         self.tokenizer, self.limit, self.slice_chars = _tokenizer(path), known, slice_chars
@@ -114,17 +116,49 @@ class Encoder:
         # Byte-level tokens write a blank as U+0120; of a chunk only the first token begins with one.
         self.begins = np.array([(self.tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
         self.special = sorted(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
-        self._forget()
+        self._clear()
 
-    def _forget(self) -> None:
+    def _clear(self) -> None:
         self.numbers = _Chunks()
+        self.pieces: list[str] = []
         self.ids = _Column(np.int32)
-        #: Of every piece: place and number of its ids, and whether a chunk may begin or end with it.
+        #: Of every piece: place and number of its ids, whether a chunk may begin or end with it, how often it was seen.
         self.first, self.size = _Column(np.int64), _Column(np.int64)
         self.opens, self.closes = _Column(bool), _Column(bool)
+        self.seen = _Column(np.int64)
 
-    def _library(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+    def _forget(self) -> None:
+        """Keep what was seen again, at most half of what may be known; what is not seen any more fades."""
+        seen = self.seen.data[:self.seen.used]
+        kept = np.flatnonzero(seen > 1)
+        if len(kept) > self.limit // 2:
+            kept = np.sort(kept[np.argsort(-seen[kept], kind="stable")[:self.limit // 2]])
+        pieces = [self.pieces[i] for i in kept.tolist()]
+        ids, size = self._gather(self.ids.data, self.first.data[kept], self.size.data[kept]), self.size.data[kept]
+        opens, closes, seen = self.opens.data[kept], self.closes.data[kept], seen[kept] // 2
+        self._clear()
+        self.numbers.update(zip(pieces, range(len(pieces))))
+        self.pieces = pieces
+        self._extend(ids, size, opens, closes)
+        self.seen.extend(seen)
+
+    def _extend(self, ids: np.ndarray, size: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> None:
+        self.first.extend(self.ids.used + np.cumsum(size) - size)
+        self.ids.extend(ids)
+        self.size.extend(size)
+        self.opens.extend(opens)
+        self.closes.extend(closes)
+
+    def _look_up(self, slices: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the pieces between blanks, and where the pieces of every slice begin."""
+        split = pc.split_pattern(pa.array(slices, pa.large_string()), " ")
+        coded = split.values.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = np.fromiter(map(self.numbers.__getitem__, distinct), np.int64, len(distinct))
+        places = coded.indices.to_numpy()
+        self.seen.extend(np.zeros(len(self.numbers) - self.seen.used, np.int64))
+        self.seen.data[numbers] += np.bincount(places, minlength=len(numbers))
+        return numbers[places], split.offsets.to_numpy().astype(np.int64)[:-1]
 
     def _learn(self) -> None:
         """Encode the new pieces, each as a chunk after a blank.
@@ -153,35 +187,39 @@ class Encoder:
             if len(begin) != len(chunks):
                 raise ValueError("not a tokenizer that splits at blanks")
             size[plain] = np.diff(np.append(begin, len(ids)))
-        self.first.extend(self.ids.used + np.cumsum(size) - size)
-        self.ids.extend(ids)
-        self.size.extend(size)
-        self.opens.extend(opens)
-        self.closes.extend(closes)
+        self.pieces.extend(new)
+        self._extend(ids, size, opens, closes)
 
-    def _gather(self, codes: np.ndarray) -> np.ndarray:
-        count = self.size.data[codes]
-        shift = self.first.data[codes] - (np.cumsum(count) - count)
-        return self.ids.data[np.repeat(shift, count) + np.arange(int(count.sum()))]
+    @staticmethod
+    def _gather(ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return ids[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
 
-    def _place(self, pieces: list[str], codes: np.ndarray) -> list[np.ndarray]:
-        """Ids of one text from its pieces between blanks; what is no plain chunk goes to the library as it stands."""
+    def _place(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of slices from the numbers of their pieces, and where the ids of every slice begin.
+
+        What is no plain chunk goes to the library as it stands.
+        """
         opens, closes = self.opens.data[codes], self.closes.data[codes]
-        cut = np.append(True, closes[:-1] & opens[1:])
-        single = opens & closes & cut & np.append(cut[1:], True)
-        single[0] = False  # no blank before it
+        cut = np.ones(len(codes) + 1, bool)
+        cut[1:-1] = closes[:-1] & opens[1:]
+        cut[starts] = True
+        single = opens & closes & cut[:-1] & cut[1:]
+        single[starts] = False  # no blank before it
         heads = np.flatnonzero(cut)
-        tails = np.append(heads[1:], len(pieces))
-        out, done = [], 0
-        for k in np.flatnonzero(~single[heads]).tolist():
-            x, z = int(heads[k]), int(tails[k])
-            if x > done:
-                out.append(self._gather(codes[done:x]))
-            out.append(self._library((" " if x else "") + " ".join(pieces[x:z])))
-            done = z
-        if done < len(pieces):
-            out.append(self._gather(codes[done:]))
-        return out
+        loose = np.flatnonzero(~single[heads[:-1]])
+        begins = heads[loose]
+        inner = np.ones(len(codes), bool)
+        inner[starts] = False
+        texts = [
+            (" " if blank else "") + " ".join([self.pieces[i] for i in codes[x:z].tolist()])
+            for x, z, blank in zip(begins.tolist(), heads[loose + 1].tolist(), inner[begins].tolist())]
+        rest = [np.array(e.ids, np.int32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        count = np.where(single, self.size.data[codes], 0)
+        count[begins] = own = np.fromiter(map(len, rest), np.int64, len(rest))
+        first = self.first.data[codes]
+        first[begins] = self.ids.used + np.cumsum(own) - own
+        ids = self._gather(np.concatenate([self.ids.data[:self.ids.used], *rest]), first, count)
+        return ids, (np.cumsum(count) - count)[starts]
 
     def _slices(self, text: str) -> Iterator[str]:
         """A very long text in slices that begin where a chunk begins."""
@@ -197,27 +235,39 @@ class Encoder:
             at = cut
         yield text[at:] if at else text
 
-    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
-        """For every text the ids that the library gives for the whole of it."""
-        group: list[list[list[str]]] = []
-        waiting = 0
-
-        def finish() -> Iterator[np.ndarray]:
-            coded = [[np.fromiter(map(self.numbers.__getitem__, p), np.int64, len(p)) for p in slices] for slices in group]
+    def _encode_group(self, group: list[list[str]]) -> list[np.ndarray]:
+        """Ids of texts, each given as its slices.  Leaves nothing half learnt, for the next task goes on from here."""
+        try:
+            codes, starts = self._look_up([x for slices in group for x in slices])
             self._learn()
-            for slices, codes in zip(group, coded):
-                yield np.concatenate([x for p, c in zip(slices, codes) for x in self._place(p, c)] or [np.zeros(0, np.int32)])
+            ids, begins = self._place(codes, starts)
             if len(self.numbers) > self.limit:
                 self._forget()
+        except BaseException:
+            self._clear()
+            raise
+        firsts = np.cumsum([0, *map(len, group)])[:-1]
+        return np.split(ids, begins[firsts][1:])
 
+    def encode(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """For every text the ids that the library gives for the whole of it."""
+        group: list[list[str]] = []
+        waiting = 0
         for text in texts:
             # The first piece of a later slice is empty: the blank before its chunk.
-            group.append([p.split(" ") for p in self._slices(text)])
+            group.append(list(self._slices(text)))
             waiting += len(text)
             if waiting >= GROUP_CHARS:
-                yield from finish()
+                yield from self._encode_group(group)
                 group, waiting = [], 0
-        yield from finish()
+        if group:
+            yield from self._encode_group(group)
+
+
+@lru_cache(maxsize=1)
+def worker_encoder(path: str) -> Encoder:
+    """The encoder of a Python worker: its tasks run one after another and know the chunks of those before."""
+    return Encoder(path)
 
 
 # ---------------------------------------------------------------- grammar
@@ -465,7 +515,7 @@ def write_ids(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, encoder = _Writer(TaskContext.get().partitionId(), shard_ids, block_ids), Encoder(tokenizer)
+        writer, encoder = _Writer(TaskContext.get().partitionId(), shard_ids, block_ids), worker_encoder(tokenizer)
         end = np.array([end_id], np.int32)
 
         def members() -> Iterator[bytes]:

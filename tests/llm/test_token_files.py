@@ -62,6 +62,23 @@ def test_repeated_text_becomes_rules():
         assert read.ids(start, stop).tolist() == ids[start:stop].tolist()
 
 
+def test_chunks_seen_again_are_remembered_from_task_to_task(monkeypatch):
+    want, asked = library(), []
+    encoder = tf.worker_encoder(PATH)
+    assert tf.worker_encoder(PATH) is encoder
+    encoder = tf.Encoder(PATH, known=40)
+    learn = encoder._learn
+    monkeypatch.setattr(encoder, "_learn", lambda: (asked.extend(encoder.numbers.new), learn()))
+    often = [f"often{k}" for k in range(10)]
+    for task in range(6):
+        texts = ["x " + " ".join([*often, *often, *[f"rare{task}x{k}" for k in range(20)]]), "", *ODD]
+        for text, ids in zip(texts, encoder.encode(texts), strict=True):
+            assert ids.tolist() == want(text)
+    assert len(encoder.numbers) <= 40 + len(ODD) * 8
+    assert sorted(x for x in asked if x.startswith("often")) == sorted(often)
+    assert len({x for x in asked if x.startswith("rare")}) == 120
+
+
 def rows():
     rng = random.Random(11)
     words = ["alpha", "beta,", "Gamma.", "d\n\ne", "", "été", "12", "<|endoftext|>"]
