@@ -71,6 +71,26 @@ def test_bootstrap_works_on_the_first_entries_and_keeps_the_others(spark, start)
     assert {r.level for r in state["tag_clouds"].select("level").distinct().collect()} == {1}
 
 
+def test_bootstrap_writes_the_texts_of_the_others_once(spark, start, monkeypatch):
+    rows = [change(i, "2024-01-01 00:00:00") for i in range(40)]
+    stored = cut(changes(spark, rows))
+    again = changes(spark, [change(i, "2024-01-02 00:00:00", extra="again") for i in (2, 30)])
+    written = []
+
+    def counting(df):
+        table = cut(df)
+        if "harvested_at" in df.columns:
+            written.append(table.filter("id >= 6").count())
+        return table
+
+    monkeypatch.setattr(runs, "cut", counting)
+    state = runs.run_bootstrap({**start, "entries": stored}, again, FIRST, n=6)
+    assert ids(state["entries"]) == list(range(40)) and ids(state["corpus"]) == [2]
+    texts = {r.id: r.description for r in state["entries"].collect()}
+    assert texts[2].endswith("again") and texts[30].endswith("again") and not texts[31].endswith("again")
+    assert sum(written) <= 34 + 1  # every other entry once, and the change of one
+
+
 def test_stream_gives_the_state_of_the_batch_run(spark, start, tmp_path):
     batches = [
         [change(i, "2024-01-01 00:00:00") for i in range(6)],
