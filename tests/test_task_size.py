@@ -46,6 +46,19 @@ def test_weights_do_not_move_the_counts_of_documents(spark):
     assert "hashpartitioning(id" not in plan and "hashpartitioning(term" not in plan
 
 
+def test_texts_of_the_corpus_stay_where_they_are_read(spark, monkeypatch):
+    docs = spark.range(60).select(
+        "id", F.lit("en").alias("lang"), (F.col("id") % 4).alias("feed_id"), F.lit("link").alias("permalink"),
+        F.lit(None).cast("string").alias("direct_link"), F.lit("title").alias("title"), F.lit("text").alias("description"),
+        F.lit("course").alias("grain_size")).repartition(3)
+    feeds = spark.createDataFrame([(0, "a"), (1, None), (2, "c")], "id bigint, short_title string")
+    joined = lambda: corpus.build_corpus(docs, feeds)
+    assert "hashpartitioning(feed_id" not in joined()._jdf.queryExecution().executedPlan().toString()
+    few = sorted(joined().collect())
+    monkeypatch.setattr(corpus, "BROADCAST_ROWS", 2)  # too many feeds to send
+    assert sorted(joined().collect()) == few and len(few) == 45
+
+
 def test_empty_texts_have_no_vectors(spark):
     docs = spark.createDataFrame([(1, None, None), (2, "a", "of")], "id bigint, title string, description string")
     assert clustering.block_vectors(docs, 2, min_df=1).collect() == []
