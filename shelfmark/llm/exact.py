@@ -26,7 +26,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, functions as F
 
 from shelfmark.functions.lineage import cut
-from shelfmark.llm.rows import ASCII_SPACE, id_key, keep_rows, whole_text
+from shelfmark.llm.rows import ASCII_SPACE, keep_rows, whole_text
 
 #: Tasks over which the merged copies of one digest are spread before the last stage.
 SALTS = 16
@@ -36,8 +36,8 @@ _TOP = Decimal(2) ** 63
 
 
 def normalised(text: str = "text") -> Column:
-    """The text without white space."""
-    return F.translate(whole_text(text), ASCII_SPACE, "")
+    """The text without white space.  A pattern goes from run to run; ``translate`` makes a string of every character."""
+    return F.regexp_replace(whole_text(text), f"[{ASCII_SPACE}]+", "")
 
 
 def sha256(content: Column) -> Column:
@@ -70,6 +70,26 @@ def _content_groups(rows: DataFrame) -> DataFrame:
     )
 
 
+def _rows(docs: DataFrame, id_column: str, text: str, digest: Callable[[Column], Column]) -> DataFrame:
+    """Where the copies of a document meet and which of them stays: doc_id, n_chars, _content, _digest, _rank."""
+    plain = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), normalised(text).alias("_content"),
+                        F.length(whole_text(text)).cast("bigint").alias("n_chars"))
+    return plain.select("*", digest(F.col("_content")).alias("_digest"), _rank(F.col("n_chars"), F.col("doc_id")).alias("_rank"))
+
+
+def _groups(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """_digest, _best and group_size of every digest with one content; _digest, _content, _best and group_size of the contents that share one."""
+    groups = cut(
+        _content_groups(rows).groupBy("_digest").agg(
+            F.count(F.lit(1)).alias("_contents"), F.max("_rank").alias("_best"), F.sum("group_size").alias("group_size"))
+    )
+    shared = groups.filter("_contents > 1").select("_digest")
+    exact = None
+    if not shared.isEmpty():  # different contents under one digest: those rows meet by content
+        exact = _content_groups(rows.join(shared, "_digest", "left_semi")).withColumnRenamed("_rank", "_best")
+    return groups.filter("_contents = 1").drop("_contents"), exact
+
+
 def duplicate_groups(
     docs: DataFrame, id_column: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256
 ) -> DataFrame:
@@ -78,23 +98,13 @@ def duplicate_groups(
     ``digest`` only decides where copies meet; contents are compared at every
     stage, so a weak digest costs time and changes nothing.
     """
-    content = normalised(text)
-    plain = docs.select(F.col(id_column).cast("bigint").alias("doc_id"), content.alias("_content"),
-                        F.length(whole_text(text)).cast("bigint").alias("n_chars"))
-    rows = plain.select("*", digest(F.col("_content")).alias("_digest"),
-                        _rank(F.col("n_chars"), F.col("doc_id")).alias("_rank"))
-    groups = cut(
-        _content_groups(rows).groupBy("_digest").agg(
-            F.count(F.lit(1)).alias("_contents"), F.max("_rank").alias("_best"), F.sum("group_size").alias("group_size"))
-    )
+    rows = _rows(docs, id_column, text, digest)
+    groups, exact = _groups(rows)
     members = rows.select("doc_id", "n_chars", "_digest", sha256(F.col("_content")).alias("text_sha256"))
-    found = members.join(groups.filter("_contents = 1").drop("_contents"), "_digest")
-    shared = groups.filter("_contents > 1").select("_digest")
-    if not shared.isEmpty():  # different contents under one digest: those rows meet by content
-        unclear = rows.join(shared, "_digest", "left_semi")
-        exact = _content_groups(unclear).withColumnRenamed("_rank", "_best")
+    found = members.join(groups, "_digest")
+    if exact is not None:
         found = found.unionByName(
-            unclear.join(exact, ["_digest", "_content"])
+            rows.join(exact, ["_digest", "_content"])
             .select("_digest", "doc_id", "n_chars", sha256(F.col("_content")).alias("text_sha256"), "_best", "group_size")
         )
     keep_id, longest = _winner(F.col("_best"))
@@ -105,12 +115,15 @@ def duplicate_groups(
 
 
 def drop_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, one row each, with the columns of ``docs``."""
-    kept = (
-        duplicate_groups(docs, id_column, text).filter("kept")
-        .select(id_key("doc_id").alias("id"), "text_sha256", "n_chars").distinct()
-    )
-    return keep_rows(docs, kept, {
-        "id": id_key(id_column), "text_sha256": sha256(normalised(text)),
-        "n_chars": F.length(whole_text(text)).cast("bigint"),
+    """The documents that stay, one row each, with the columns of ``docs``.
+
+    A rank holds length and id, so that digest and best rank name the row of a
+    group that stays: the texts are read for the groups and once more to be kept.
+    """
+    groups, exact = _groups(_rows(docs, id_column, text, sha256))
+    best = groups.select("_digest", "_best")
+    if exact is not None:
+        best = best.unionByName(exact.select("_digest", "_best"))
+    return keep_rows(docs, best, {
+        "_digest": sha256(normalised(text)), "_best": _rank(F.length(whole_text(text)), F.col(id_column).cast("bigint")),
     })

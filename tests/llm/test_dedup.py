@@ -113,3 +113,22 @@ def test_near_dedup_keeps_one_row_of_every_component(spark):
     got = sorted(r["n"] for r in simhash.drop_near_duplicates(docs).collect())
     assert got == sorted(n for _, n in want.values())
     assert {0, 3, 4, 5} <= set(got) and len(got) == 6
+
+
+def test_exact_drop_reads_the_texts_once_for_the_result(spark, tmp_path):
+    spark.createDataFrame(ROWS, SCHEMA).write.parquet(f"{tmp_path}/docs")
+    kept = exact.drop_duplicates(spark.read.parquet(f"{tmp_path}/docs"))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    # One reading of the documents beside the stored groups, and no string made of every character.
+    assert plan.count("Relation") == 2 and "translate(" not in plan
+
+
+def test_exact_drop_keeps_the_rows_that_the_groups_name(spark):
+    rows = ROWS + [(i, t, "", 0, "") for i, t in [
+        (20, "same id"), (20, "other text"), (20, "sameid"), (None, "z\x0bz"), (None, "z\x0bz"), (-5, "z z"), (21, "a b"), (22, "a b"),
+        (-(2**63), "low"), (2**63 - 1, "lo w"), (23, "\r\n"), (24, "\x0c")]]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    want = {(r["doc_id"], r["n_chars"], r["text_sha256"]) for r in exact.duplicate_groups(docs).filter("kept").collect()}
+    got = [(r["doc_id"], len(r["text"] or ""), hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", r["text"] or "").encode()).hexdigest())
+           for r in exact.drop_duplicates(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
