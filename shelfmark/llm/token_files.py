@@ -192,7 +192,9 @@ class Encoder:
 
     @staticmethod
     def _gather(ids: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-        return ids[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))]
+        where = np.repeat(first - (np.cumsum(count) - count), count)
+        where += np.arange(len(where))
+        return ids[where]
 
     def _place(self, codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of slices from the numbers of their pieces, and where the ids of every slice begin.
@@ -218,7 +220,10 @@ class Encoder:
         count[begins] = own = np.fromiter(map(len, rest), np.int64, len(rest))
         first = self.first.data[codes]
         first[begins] = self.ids.used + np.cumsum(own) - own
-        ids = self._gather(np.concatenate([self.ids.data[:self.ids.used], *rest]), first, count)
+        known = self.ids.used
+        self.ids.extend(np.concatenate([np.zeros(0, np.int32), *rest]))  # behind the known ids, for this group only
+        ids = self._gather(self.ids.data, first, count)
+        self.ids.used = known
         return ids, (np.cumsum(count) - count)[starts]
 
     def _slices(self, text: str) -> Iterator[str]:
@@ -287,18 +292,20 @@ def compress(ids: np.ndarray, least_places: int = LEAST_PLACES, least_saving: fl
     representative = np.zeros(1 << bits, np.int32)
     numbers = np.arange(len(symbols), dtype=np.int32)
     while len(symbols) > 1:
-        left, right = symbols[:-1], symbols[1:]
-        place = left * np.uint32(0x9E3779B1 + 2 * round_) + right * np.uint32(0x85EBCA6B + 4 * round_)
-        place ^= place >> np.uint32(15)
-        place = ((place * np.uint32(0x2C1B3C6D)) >> np.uint32(32 - bits)).astype(np.intp)
+        pairs = symbols[:-1].astype(np.uint64) << np.uint64(32)
+        pairs |= symbols[1:]
+        place = pairs * np.uint64(0x9E3779B97F4A7C15 + (round_ << 33 | round_ << 1))
+        place >>= np.uint64(64 - bits)
+        place = place.view(np.int64)
         representative[place] = numbers[:len(place)]
-        other = representative[place]
-        same = (left[other] == left) & (right[other] == right)
+        same = pairs[representative[place]] == pairs
         counts = np.bincount(place[same], minlength=1 << bits)
-        counts[counts < least_places] = 0
-        # Rank of a pair: its frequency, equal ones told apart by their place in the table; 0 stays as it is.
-        rank = np.where(counts > 0, counts << bits | np.arange(1 << bits), 0)[place]
-        rank[~same] = 0
+        # Rank of a pair by its frequency, equal ones told apart by their place in the table; 0 stays as it is.
+        frequent = np.flatnonzero(counts >= least_places)
+        ranks = np.zeros(1 << bits, np.int32)
+        ranks[frequent[np.argsort(counts[frequent], kind="stable")]] = np.arange(1, len(frequent) + 1, dtype=np.int32)
+        rank = ranks[place]
+        rank *= same
         best = rank > 0
         best[1:] &= rank[1:] > rank[:-1]
         best[:-1] &= rank[:-1] >= rank[1:]
@@ -313,7 +320,7 @@ def compress(ids: np.ndarray, least_places: int = LEAST_PLACES, least_saving: fl
         names = np.zeros(1 << bits, np.uint32)
         names[chosen] = top + np.arange(len(chosen), dtype=np.uint32)
         known = representative[chosen]
-        rules.append(np.stack([left[known], right[known]], 1))
+        rules.append(np.stack([symbols[known], symbols[known + 1]], 1))
         symbols = symbols.copy()
         symbols[taken] = names[where]
         keep = np.ones(len(symbols), bool)
@@ -340,8 +347,22 @@ def rule_sizes(first: int, table: np.ndarray) -> np.ndarray:
     return sizes
 
 
-def expand(symbols: np.ndarray, first: int, table: np.ndarray) -> np.ndarray:
-    """Ids that symbols stand for."""
+def expand(symbols: np.ndarray, first: int, table: np.ndarray, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Ids that symbols stand for; ``sizes`` are those of the rules, if known.
+
+    For many symbols the rules are written out once and copied from there, if they are short enough.
+    """
+    sizes = rule_sizes(first, table) if sizes is None else sizes
+    if len(symbols) > first + 2 * len(table) and sizes.sum(dtype=np.int64) <= 4 * len(symbols):
+        count = np.append(np.ones(first, np.int64), sizes)
+        begin = np.cumsum(count) - count
+        rules = expand(np.arange(first, first + len(table), dtype=np.uint32), first, table, sizes)
+        written = np.append(np.arange(first, dtype=np.uint32), rules)
+        count, begin = count[symbols], begin[symbols]
+        begin -= np.cumsum(count) - count
+        where = np.repeat(begin, count)
+        where += np.arange(len(where))
+        return written[where]
     while len(symbols):
         inner = symbols >= first
         if not inner.any():
@@ -364,9 +385,9 @@ def _pack3(numbers: np.ndarray) -> bytes:
 
 
 def _unpack3(data: memoryview) -> np.ndarray:
-    wide = np.zeros((len(data) // 3, 4), np.uint8)
-    wide[:, :3] = np.frombuffer(data, np.uint8).reshape(-1, 3)
-    return wide.view("<u4").ravel()
+    # Four bytes are read at every third one; the last of them belongs to the next number.
+    wide = np.ndarray(len(data) // 3, "<u4", bytes(data) + b"\0", strides=(3,))
+    return wide & np.uint32(0xFFFFFF)
 
 
 def build_block(ids: np.ndarray) -> bytes:
@@ -406,13 +427,15 @@ class Block:
         start, stop = max(start, 0), min(stop, self.n_ids)
         if start >= stop:
             return np.zeros(0, np.uint32)
+        if stop - start == self.n_ids:
+            return expand(_unpack3(self.symbols), self.first, self.table, self.sizes)
         x, z = int(np.searchsorted(self.places, start, "right")) - 1, int(np.searchsorted(self.places, stop, "left"))
         symbols = _unpack3(self.symbols[3 * STEP * x:3 * STEP * z])
         ends = int(self.places[x]) + np.cumsum(_symbol_sizes(symbols, self.first, self.sizes))
         a = int(np.searchsorted(ends, start, "right"))
         z = int(np.searchsorted(ends, stop, "left")) + 1
         base = int(ends[a - 1]) if a else int(self.places[x])
-        return expand(symbols[a:z], self.first, self.table)[start - base:stop - base]
+        return expand(symbols[a:z], self.first, self.table, self.sizes)[start - base:stop - base]
 
 
 class Shard:

@@ -122,3 +122,17 @@ def test_round_trip(spark, sizes):
 def test_empty(spark):
     frame = spark.createDataFrame([], SCHEMA)
     assert tf.round_trip(frame, PATH, 2).collect() == []
+
+
+def test_rules_written_out_once():
+    rng = np.random.default_rng(3)
+    # Long runs and repeats give rules of rules; ids up to the largest that three bytes hold beside the rules.
+    for ids in (np.tile(rng.integers(0, 50, 40), 400), np.zeros(9_000, int), rng.integers(0, 7, 20_000), np.array([5]), np.array([], int),
+                np.full(4, (1 << 24) - 9), np.append(np.tile([1, 2, 3, 4], 3_000), 60_000)):
+        first, table, sizes, symbols = tf.compress(ids.astype(np.int32), 2, 0.0001)
+        got = tf.expand(symbols, first, table, sizes)
+        assert got.dtype == np.uint32 and np.array_equal(got, ids)
+        each = [tf.expand(symbols[i:i + 1], first, table, sizes) for i in range(min(len(symbols), 50))]
+        assert np.array_equal(np.concatenate([np.zeros(0, np.uint32), *each]), ids[:sum(map(len, each))])
+        block = tf.Block(memoryview(tf.build_block(ids.astype(np.int32))), 0)
+        assert np.array_equal(block.ids(0, len(ids)), ids) and np.array_equal(block.ids(1, len(ids) - 1), ids[1:-1])
